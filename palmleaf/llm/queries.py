@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.llm import decontaminate, language, packing, quality
+from palmleaf.llm import decontaminate, html_extract, language, packing, quality
 from palmleaf.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +47,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
     "op3_language": op3_language,
     "op5_quality": op5_quality,
+    "op7_html": op7_html,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
