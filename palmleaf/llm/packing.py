@@ -18,6 +18,8 @@ are packed once each; an empty table gives no row.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,42 +36,92 @@ END_ID = 1
 #: A bin with no more free places than this is final.
 SLACK = 8
 FAN_IN = 8
-#: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Entries of each of a worker's two caches of ids.
+CACHE_WORDS = 700_000
 
-_tokenizers: dict[str, object] = {}
-_ids: dict[bytes, bytes] = {}
+#: The normaliser and pre-tokeniser for which ids go word by word: neither looks
+#: across white space, and a run of letters or of symbols stands alone.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Symbols, letters and symbols of which no rule of that splitter takes apart more.
+_PLAIN = re.compile("([!-&(-/:-@[-`{-~]*)([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@[-`{-~]*)")
 
 
-def _tokenizer(path: str):
-    if path not in _tokenizers:
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others
+    for code points from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordIds(dict):
+    """Blank-separated words to the bytes of their ids, found when first asked for."""
+
+    def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        _tokenizers.clear()
-        _ids.clear()
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+        super().__init__()
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
+        spec = json.loads(self.tokenizer.to_str())
+        splits = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        self.by_word = spec["normalizer"] == _NORMALIZER and splits[0].get("pattern") == {"Regex": _SPLIT} and spec["model"]["type"] == "BPE"
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
+        self.runs: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def run(self, run: str) -> bytes:
+        """Ids of one lower-case run of letters or of symbols."""
+        if run not in self.runs:
+            spelt = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            self.runs[run] = np.array([t.id for t in self.model.tokenize(spelt)], "<u4").tobytes()
+        return self.runs[run]
+
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        plain = _PLAIN.fullmatch(text)
+        if plain:
+            ids = b"".join(self.run(x.lower()) for x in plain.groups() if x)
+        else:
+            ids = self.whole(text)
+        self[word] = ids
+        return ids
+
+    def bound(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        if len(self.runs) > CACHE_WORDS:
+            self.runs.clear()
+
+
+_caches: dict[str, WordIds] = {}
 
 
 def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers, without the end token.
 
-    The vocabulary's pre-tokeniser never crosses white space, so ids of a text
-    are those of its blank-separated words in turn; words repeat, and a worker
-    remembers their ids.  Special tokens' strings have no white space either.
+    Where the vocabulary's splitter allows it, ids of a text are those of its
+    blank-separated words in turn, which repeat and are remembered; with another
+    splitter each text is encoded at once.
     """
-    tok = _tokenizer(path)
-    split = [t.split() if t else [] for t in texts]
-    new = set().union(*split).difference(_ids)
-    if len(_ids) + len(new) > CACHE_WORDS:
-        _ids.clear()
-        new = set().union(*split)
-    order = sorted(new)
-    for at in range(0, len(order), 10_000):
-        part = order[at : at + 10_000]
-        for word, enc in zip(part, tok.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            _ids[word] = np.array(enc.ids, "<u4").tobytes()
-    return [b"".join(map(_ids.__getitem__, words)) for words in split]
+    if path not in _caches:
+        _caches.clear()
+        _caches[path] = WordIds(path)
+    ids = _caches[path]
+    if not ids.by_word:
+        return [ids.whole(t.decode("utf-8", "replace")) if t else b"" for t in texts]
+    out = []
+    for t in texts:
+        out.append(b"".join(map(ids.__getitem__, t.split())) if t else b"")
+        ids.bound()
+    return out
 
 
 def best_fit(sizes: list[int], room: int = SEQUENCE) -> list[list[int]]:
@@ -145,7 +197,7 @@ def _pieces(path: str, room: int, end_id: int, slack: int):
 def _merge(room: int, slack: int, last: bool):
     """One task packs the items of its node: bins that came from below."""
 
-    def run(key, table: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("item", "ascending")])
         items, sizes = table.column("item").to_pylist(), table.column("size").to_pylist()
         rows = []
