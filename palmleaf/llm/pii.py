@@ -33,7 +33,7 @@ DEMO_KEY = "palmleaf demonstration key"
 # Patterns of the formats.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
 CARD = (
-    r"(?<![\w])(?<!\d[-. ])(?:[2-6]\d{12,18}|[2-6]\d{3}(?<s1>[ -])\d{4}\k<s1>\d{4}\k<s1>\d{1,7}|3[47]\d{2}(?<s2>[ -])\d{6}\k<s2>\d{5})"
+    r"(?<![\w])(?<!\d[-.])(?:[2-6]\d{12,18}|[2-6]\d{3}(?<s1>[ -])\d{4}\k<s1>\d{4}\k<s1>\d{1,7}|3[47]\d{2}(?<s2>[ -])\d{6}\k<s2>\d{5})"
     r"(?!\w|-\d)"
 )
 PHONE = (

@@ -8,10 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.llm import decontaminate, html_extract, language, packing, quality
+from palmleaf.llm import chat, decontaminate, html_extract, language, packing, pii, quality, secrets, url_filter
 from palmleaf.llm.common import table
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(
+        table(spark, sf_dir, "pages"), url_filter.default_rules(spark), url_filter.default_list(spark), ["page_id"]
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]
@@ -26,6 +32,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    n_of = lambda kind: F.coalesce(
+        F.get(F.transform(F.filter("pii", lambda x: x["kind"] == kind), lambda x: x["n"]), F.lit(0)), F.lit(0)
+    ).alias(f"n_{kind}")
+    return docs.select("doc_id", "text", *map(n_of, pii.KINDS))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.ledger(table(spark, sf_dir, "documents"), ["doc_id"])
     return quality.apply_policy(book).select(
@@ -33,10 +47,18 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json")
@@ -44,10 +66,17 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_decontaminate": op2_decontaminate,
-    "op3_language": op3_language,
-    "op5_quality": op5_quality,
-    "op7_html": op7_html,
-    "op10_packing": op10_packing,
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_decontaminate,
+        op3_language,
+        op4_pii,
+        op5_quality,
+        op6_secrets,
+        op7_html,
+        op8_chat,
+        op10_packing,
+    )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.sql(), "op8_chat": chat.SQL}
