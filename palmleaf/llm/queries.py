@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.llm import chat, decontaminate, html_extract, language, packing, pii, quality, secrets, url_filter
+from palmleaf.llm import chat, decontaminate, html_extract, language, neardup, packing, pii, quality, secrets, url_filter
 from palmleaf.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_secrets,
         op7_html,
         op8_chat,
+        op9_neardup,
         op10_packing,
     )
 }
