@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from palmleaf.plans.session import prepare
+from palmleaf.plans.session import prepare, shared_dir, stored
 
 #: Rows of one Arrow batch sent to a Python worker.  Texts can be long, so the
 #: default of 10,000 rows would let a batch grow to gigabytes.
@@ -19,30 +17,8 @@ def tune(spark: SparkSession) -> SparkSession:
     return prepare(spark)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset (tests,
-    one machine), a folder under the warehouse is set and used."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir")
-    if not where:
-        current = sc._jsc.sc().getCheckpointDir()
-        where = current.get() if current.isDefined() else None
-    if not where:
-        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_palmleaf_checkpoints"
-        sc.setCheckpointDir(where)
-    elif not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts the
-    lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/palmleaf-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+__all__ = ["prepare", "shared_dir", "stored", "table", "tune"]
