@@ -8,8 +8,8 @@ edit distance, not only with set difference.
 
 Candidates agree in at least ``AGREE`` sketches.  They come from stars, never from
 all pairs of a bucket: every text of a bucket is paired with the bucket's smallest
-text, and texts that this pair does not join go on to buckets of two sketches at
-once, where every pair that agrees in two sketches meets again.  A candidate is
+text.  Where a bucket then still holds several groups, one text of each goes on to
+buckets of two sketches at once, where those that agree in two sketches meet again.  A candidate is
 accepted if a banded alignment of the word sequences needs at most
 ``(1 - SIMILARITY)`` edits per word of the longer text.  Classes are the connected
 components of the accepted links; exact copies are one text from the start and are
@@ -240,11 +240,16 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.where((small >= similarity * large - 1) & (shared >= AGREE)).select("hub", "content")
 
 
-def _accepted(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that the alignment accepts.  Only texts of candidates are moved."""
+def _accepted(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that the alignment accepts.  Texts are shuffled once, and only those of
+    candidates go further: each from the row with its first id."""
     pairs = stored(pairs, "candidates")
     wanted = pairs.select("content").union(pairs.select(F.col("hub").alias("content"))).distinct()
-    chosen = stored(texts.join(wanted, "content", "left_semi"), "candidate-texts")
+    first = wanted.join(nodes.select("content", "first_id"), "content").withColumnRenamed("content", "c")
+    chosen = stored(
+        texts.join(first, (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id"))).select("content", "raw"),
+        "candidate-texts",
+    )
     both = pairs.join(chosen.select("content", F.col("raw").alias("two")), "content").join(
         chosen.select(F.col("content").alias("hub"), F.col("raw").alias("one")), "hub"
     )
@@ -291,23 +296,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         ),
         "texts",
     )
-    # the text of each node, from the row with its first id
     texts = (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
         .where("raw IS NOT NULL")
         .select("id", "raw", F.unhex(F.md5("raw")).alias("content"))
     )
-    texts = texts.join(nodes.select(F.col("content").alias("c"), "first_id"), (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id"))).select("content", "raw")
-
     buckets = nodes.select("content", F.explode("keys").alias("key"))
     stars = stored(_stars(buckets), "stars")
     tried = stars.where("hub <> content").select("hub", "content").distinct()
-    links = _accepted(_agreeing(tried, nodes, similarity), texts, similarity)
-
-    # texts of a bucket that its star did not join: buckets of two sketches
-    open_ = stars.where("hub <> content").join(links, ["hub", "content"], "left_anti").select("content", "key")
-    several = open_.groupBy("key").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x <> y").select("key")
-    left = open_.join(several, "key").groupBy("content").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # SKETCHES at most
+    links = _accepted(_agreeing(tried, nodes, similarity), texts, nodes, similarity)
+
+    # buckets that still hold several groups: one text of each goes on to buckets of
+    # two sketches, where any two that agree in two sketches meet
+    known = components(links)
+    grouped = stars.join(known, "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
+    several = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    open_ = grouped.groupBy("key", "root").agg(F.min("content").alias("content")).join(several, "key")
+    left = open_.groupBy("content").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # SKETCHES at most
     twos = left.select(
         "content",
         F.explode(
@@ -317,7 +322,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         ).alias("key"),
     )
     again = _stars(twos).where("hub <> content").select("hub", "content").distinct().join(tried, ["hub", "content"], "left_anti")
-    links = links.union(_accepted(_agreeing(again, nodes, similarity), texts, similarity))
+    links = links.union(_accepted(_agreeing(again, nodes, similarity), texts, nodes, similarity))
 
     roots = nodes.select("content", "first_id").join(components(links), "content", "left").withColumn("root", F.coalesce("root", "content"))
     heads = roots.groupBy("root").agg(
