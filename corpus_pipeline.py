@@ -19,14 +19,19 @@ LEAST_SHARE = 0.5
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    """The text, and all other columns as one struct."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "text")
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without a leading language, go."""
     model = language.fit(language.training_rows(docs))
-    told = language.identify(_rows(docs), model, ["row"])
-    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    told = language.identify(_rows(docs), model, ["row", "text"])
+    return told.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*_columns(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +41,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
-    found = decontaminate.decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), ["row"])
-    return found.where(~F.col("contaminated")).select("row.*")
+    found = decontaminate.decontaminate(_rows(docs), table(spark, sf_dir, "benchmark"), ["row", "text"])
+    return found.where(~F.col("contaminated")).select(*_columns(docs))
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms in their formats."""
     done = pii.pseudonymise(_rows(docs))
-    new = {"text": F.col("text")}
+    columns = _columns(docs)
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(F.size("pii") > 0, F.length("text").cast(kind)).otherwise(F.col("row.n_chars"))
-    return done.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+        size = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns[docs.columns.index("n_chars")] = F.when(F.size("pii") > 0, size).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return done.select(*columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import tune
+from palmleaf.llm.common import fields, kept, texts_of, tune, with_text
 
 WIDTH = 10
 #: Bytes of pattern text in one automaton block.
@@ -125,10 +125,10 @@ def char_spans(text: str, flags: np.ndarray) -> list[list[int]]:
     return spans
 
 
-def _scan(parts: list[tuple[str, Broadcast]]):
+def _scan(parts: list[tuple[str, Broadcast]], at_text: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = texts_of(batch, at_text)
             normal = [words_of(raw) for raw in texts]
             counts = [len(w) for w in normal]
             normal = [_spaced(w) if w else "" for w in normal]
@@ -150,7 +150,7 @@ def _scan(parts: list[tuple[str, Broadcast]]):
             ]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1],
+                    *kept(batch, len(keep)),
                     pa.array(counts, pa.int64()),
                     pa.array([0 if f is None else int(f.sum()) for f in flags], pa.int64()),
                     pa.array([len(x) for x in named], pa.int64()),
@@ -160,7 +160,7 @@ def _scan(parts: list[tuple[str, Broadcast]]):
                     pa.array(spans, pa.list_(pa.list_(pa.int64()))),
                 ],
                 names=[
-                    *batch.schema.names[:-1],
+                    *keep,
                     "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans",
                 ],
             )
@@ -184,11 +184,11 @@ def decontaminate(
     patterns = windows([(r[0], bytes(r[1]) if r[1] is not None else None) for r in items.toLocalIterator()], width)
     parts = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks(patterns, block_bytes)]
     schema = ", ".join(
-        [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-        + [
+        [
+            *fields(docs, keep),
             "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string",
             "contaminated boolean, item_ids array<string>, hit_spans array<array<bigint>>",
         ]
     )
-    raw = docs.select(*keep, F.col(text_col).cast("binary").alias("__raw"))
-    return raw.mapInArrow(_scan(parts), schema)
+    rows, at = with_text(docs, keep, text_col)
+    return rows.mapInArrow(_scan(parts, at, keep), schema)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import tune
+from palmleaf.llm.common import fields, kept, texts_of, tune, with_text
 
 BITS = 16
 SAMPLE_PER_LANGUAGE = 1500
@@ -170,20 +170,14 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 
+    rows, at = with_text(docs, keep, text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, scores, shares = predict(shared.value, batch.column(batch.num_columns - 1).to_pylist(), penalty)
+            names, scores, shares = predict(shared.value, texts_of(batch, at), penalty)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.list_(pa.float64()))],
-                names=[*batch.schema.names[:-1], "lang_pred", "score", "proportions"],
+                [*kept(batch, len(keep)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.list_(pa.float64()))],
+                names=[*keep, "lang_pred", "score", "proportions"],
             )
 
-    schema = ", ".join(
-        [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-        + ["lang_pred string, score double, proportions array<double>"]
-    )
-    return docs.select(*keep, F.col(text_col).cast("binary").alias("__raw")).mapInArrow(run, schema)
-
-
-def known_languages(model: Model) -> list[str]:
-    return list(model.languages)
+    return rows.mapInArrow(run, ", ".join([*fields(docs, keep), "lang_pred string, score double, proportions array<double>"]))

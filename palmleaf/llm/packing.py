@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import stored, tune
+from palmleaf.llm.common import fields, kept, stored, texts_of, tune, with_text
 
 SEQUENCE = 4096
 END_ID = 1
@@ -37,7 +37,7 @@ END_ID = 1
 SLACK = 8
 FAN_IN = 8
 #: Entries of each of a worker's two caches of ids.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 300_000
 
 #: The normaliser and pre-tokeniser for which ids go word by word: neither looks
 #: across white space, and a run of letters or of symbols stands alone.
@@ -141,18 +141,16 @@ def best_fit(sizes: list[int], room: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def _pieces(path: str, room: int, end_id: int, slack: int):
+def _pieces(path: str, at_text: int, keep: list[str], room: int, end_id: int, slack: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in range(5)]
         keeps: list[pa.Array] = []
-        schema = None
         rows = 0
         for batch in batches:
-            schema = schema or batch.schema
             source: list[int] = []
-            for row, ids in enumerate(token_bytes(batch.column(batch.num_columns - 1).to_pylist(), path)):
+            for row, ids in enumerate(token_bytes(texts_of(batch, at_text), path)):
                 ids += end
                 n = len(ids) // 4
                 for piece, start in enumerate(range(0, n, room)):
@@ -160,7 +158,7 @@ def _pieces(path: str, room: int, end_id: int, slack: int):
                     source.append(row)
                     for column, value in zip(columns, (piece, start, len(part) // 4, zlib.crc32(part), 0), strict=True):
                         column.append(value)
-            keeps.append(batch.select(range(batch.num_columns - 1)).take(pa.array(source, pa.int64())))
+            keeps.append(pa.RecordBatch.from_arrays(kept(batch, len(keep)), names=keep).take(pa.array(source, pa.int64())))
             rows += len(source)
         if not rows:
             return
@@ -175,10 +173,10 @@ def _pieces(path: str, room: int, end_id: int, slack: int):
                 bin_id[i], offset[i] = (task << 33) | number, at
                 at += lengths[i]
             total[members] = at
-        kept = pa.Table.from_batches(keeps)
+        places = pa.Table.from_batches(keeps)
         out = pa.table(
             [
-                *kept.columns,
+                *places.columns,
                 pa.array(columns[0], pa.int32()),
                 *(pa.array(c, pa.int64()) for c in columns[1:4]),
                 pa.array(bin_id),
@@ -187,7 +185,7 @@ def _pieces(path: str, room: int, end_id: int, slack: int):
                 pa.array(total >= room - slack),
                 pa.array(np.full(rows, task, np.int64)),
             ],
-            names=[*kept.schema.names, "piece", "start", "length", "ids_crc32", "bin_id", "bin_offset", "bin_size", "final", "task"],
+            names=[*keep, "piece", "start", "length", "ids_crc32", "bin_id", "bin_offset", "bin_size", "final", "task"],
         )
         yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
@@ -228,14 +226,14 @@ def pack(
     sequence_id and offset."""
     spark = tune(docs.sparkSession)
     schema = ", ".join(
-        [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-        + [
+        [
+            *fields(docs, keep),
             "piece int, start bigint, length bigint, ids_crc32 bigint, bin_id bigint",
             "bin_offset bigint, bin_size bigint, final boolean, task bigint",
         ]
     )
-    raw = docs.select(*keep, F.col(text_col).cast("binary").alias("__raw"))
-    pieces = stored(raw.mapInArrow(_pieces(tokenizer_path, room, end_id, slack), schema), "pieces")
+    rows, at = with_text(docs, keep, text_col)
+    pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, at, keep, room, end_id, slack), schema), "pieces")
 
     # underfull bins: one row each, from the row of their first piece
     below = pieces.where(~F.col("final") & (F.col("bin_offset") == 0)).select(

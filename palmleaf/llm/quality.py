@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import tune
+from palmleaf.llm.common import fields, kept, texts_of, tune, with_text
 
 #: Rule -> bit.  A bit is never given to another rule: old ledgers stay readable.
 RULES = {
@@ -82,14 +82,16 @@ def measure(raw: bytes | None) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), _repeated(words), len(lines), letters
 
 
-def _ledger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
-        found = np.array(rows, np.int64).reshape(len(rows), len(_FIELDS))
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], *(pa.array(found[:, k]) for k in range(len(_FIELDS)))],
-            names=[*batch.schema.names[:-1], *_FIELDS],
-        )
+def _ledger(at_text: int, keep: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure(x) for x in texts_of(batch, at_text)]
+            found = np.array(rows, np.int64).reshape(len(rows), len(_FIELDS))
+            yield pa.RecordBatch.from_arrays(
+                [*kept(batch, len(keep)), *(pa.array(found[:, k]) for k in range(len(_FIELDS)))], names=[*keep, *_FIELDS]
+            )
+
+    return run
 
 
 def _mask():
@@ -113,14 +115,9 @@ def _mask():
 def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, the measurements and ``failed`` (bit k: rule k failed)."""
     tune(docs.sparkSession)
-    schema = ", ".join(
-        [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + [f"{x} bigint" for x in _FIELDS]
-    )
-    return (
-        docs.select(*keep, F.col(text_col).cast("binary").alias("__raw"))
-        .mapInArrow(_ledger, schema)
-        .withColumn("failed", _mask())
-    )
+    rows, at = with_text(docs, keep, text_col)
+    schema = ", ".join([*fields(docs, keep), *(f"{x} bigint" for x in _FIELDS)])
+    return rows.mapInArrow(_ledger(at, keep), schema).withColumn("failed", _mask())
 
 
 def apply_policy(book: DataFrame, version: str = CURRENT) -> DataFrame:
