@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unclashed(keep: list[str], *own: str) -> list[str]:
+    """``keep`` without names of an operator's own columns: those win."""
+    return [c for c in keep if c not in own]
+
+
 def with_text(docs: DataFrame, keep: list[str], text_col: str) -> tuple[DataFrame, int]:
     """``keep`` columns and the text, and the text's place: a text that is kept
     anyway travels to Python once."""
@@ -45,4 +50,4 @@ def fields(docs: DataFrame, keep: list[str]) -> list[str]:
     return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
 
-__all__ = ["fields", "kept", "prepare", "shared_dir", "stored", "table", "texts_of", "tune", "with_text"]
+__all__ = ["fields", "kept", "prepare", "shared_dir", "stored", "table", "texts_of", "tune", "unclashed", "with_text"]

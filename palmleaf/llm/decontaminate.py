@@ -10,7 +10,7 @@ The pattern set is the stated query set of the operator: it is measured before
 it is shipped, and beyond ``block_bytes`` it is cut into blocks.  The documents
 are then scanned once a block, each automaton staying within the same memory.
 
-Defined results: a null or wordless text has no words, no hits and is clean; a
+Defined results: kept columns named like an operator's own are left out; a null or wordless text has no words, no hits and is clean; a
 null or wordless item has no window; repeated items with the same id count once;
 items with a null id can mark words but have no id to report.
 """
@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import fields, kept, texts_of, tune, with_text
+from palmleaf.llm.common import fields, kept, texts_of, tune, unclashed, with_text
 
 WIDTH = 10
 #: Bytes of pattern text in one automaton block.
@@ -178,6 +178,7 @@ def decontaminate(
 ) -> DataFrame:
     """``keep`` columns of ``docs`` plus n_words, n_hit, n_items, items_sha256,
     contaminated, item_ids and hit_spans ([start, end) code points)."""
+    keep = unclashed(keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans")
     spark = tune(docs.sparkSession)
     # the stated query set: read whole, at most one row for each item and text
     items = benchmark.select("item_id", F.col("text").cast("binary").alias("raw")).distinct()

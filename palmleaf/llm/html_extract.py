@@ -12,7 +12,7 @@ Block-level elements start new blocks; white space within a block is one space;
 blocks are joined by a line feed.  Scripts, styles, comments and the like never
 become nodes.
 
-Defined results: a null or empty page, or one without content, gives the empty
+Defined results: kept columns named like an operator's own are left out; a null or empty page, or one without content, gives the empty
 text; unclosed and stray tags are repaired as browsers do; an unfinished tag or
 comment at the end is dropped; repeated rows are extracted once each.
 """
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palmleaf.llm import html_pages
-from palmleaf.llm.common import tune
+from palmleaf.llm.common import tune, unclashed
 
 # Element sets of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -328,6 +328,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, keep: list[str], html_col: str = "html") -> DataFrame:
     """``keep`` columns of ``pages``, text and n_chars (code points)."""
+    keep = unclashed(keep, "text", "n_chars")
     tune(pages.sparkSession)
     schema = ", ".join([f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep] + ["text string, n_chars bigint"])
     return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(_extract, schema)

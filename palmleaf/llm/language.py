@@ -12,7 +12,7 @@ Fitting reads at most ``SAMPLE_PER_LANGUAGE`` labelled texts of each language,
 chosen by a hash of the text, and at most ``SAMPLE_BYTES`` of each; this bound is
 the documented one of the classifier.  Prediction reads whole texts.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
+Defined results: kept columns named like an operator's own are left out; a null text, or one without a letter, is ``und`` with score 0;
 without any labelled row everything is ``und``; ties go to the language that
 sorts first.
 """
@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import fields, kept, texts_of, tune, with_text
+from palmleaf.llm.common import fields, kept, texts_of, tune, unclashed, with_text
 
 BITS = 16
 SAMPLE_PER_LANGUAGE = 1500
@@ -167,6 +167,7 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> l
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
     """``keep`` columns, lang_pred, score (its proportion) and proportions, in the
     order of ``model.languages``."""
+    keep = unclashed(keep, "lang_pred", "score", "proportions")
     spark = tune(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
 

@@ -11,7 +11,7 @@ a piece's place is its place in its first bin plus that bin's place in the last.
 Recovery: level 0 is written to the shared folder before anything reads it twice
 and all ids come from it, so a lost executor repeats one task and changes nothing.
 
-Defined results: a null text is an empty one (only the end token); repeated rows
+Defined results: kept columns named like an operator's own are left out; a null text is an empty one (only the end token); repeated rows
 are packed once each; an empty table gives no row.
 """
 
@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import fields, kept, stored, texts_of, tune, with_text
+from palmleaf.llm.common import fields, kept, stored, texts_of, tune, unclashed, with_text
 
 SEQUENCE = 4096
 END_ID = 1
@@ -124,6 +124,11 @@ def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
     return out
 
 
+_OWN = (
+    "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "bin_id", "bin_offset", "bin_size", "final", "task", "item", "into", "at"
+)
+
+
 def best_fit(sizes: list[int], room: int = SEQUENCE) -> list[list[int]]:
     """Best-fit decreasing: item numbers of each bin, in the order of placing."""
     bins: list[list[int]] = []
@@ -224,7 +229,8 @@ def pack(
 ) -> DataFrame:
     """One row a piece: ``keep`` columns, piece, start, length, ids_crc32,
     sequence_id and offset."""
-    spark = tune(docs.sparkSession)
+    keep = unclashed(keep, *_OWN)
+    tune(docs.sparkSession)
     schema = ", ".join(
         [
             *fields(docs, keep),

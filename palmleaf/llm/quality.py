@@ -5,7 +5,7 @@ and one bit for each failed rule; versioned policies are masks over these bits,
 so applying or comparing policies never reads a text again, and ablations come
 from bitwise aggregation over the few distinct masks.
 
-Defined results: a null text is an empty one; a text without words fails
+Defined results: kept columns named like an operator's own are left out; a null text is an empty one; a text without words fails
 ``few_words`` and no rule that needs a ratio.
 """
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import fields, kept, texts_of, tune, with_text
+from palmleaf.llm.common import fields, kept, texts_of, tune, unclashed, with_text
 
 #: Rule -> bit.  A bit is never given to another rule: old ledgers stay readable.
 RULES = {
@@ -114,6 +114,7 @@ def _mask():
 
 def ledger(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns, the measurements and ``failed`` (bit k: rule k failed)."""
+    keep = unclashed(keep, *_FIELDS, "failed")
     tune(docs.sparkSession)
     rows, at = with_text(docs, keep, text_col)
     schema = ", ".join([*fields(docs, keep), *(f"{x} bigint" for x in _FIELDS)])
