@@ -203,7 +203,7 @@ def evidence(tree: Tree) -> list[tuple]:
 class Model:
     """Log potentials: evidence by feature and value, edges by the child's tag and region."""
 
-    def __init__(self, labelled: list[tuple[Tree, list[int]]], smooth: float = 0.3) -> None:
+    def __init__(self, labelled: list[tuple[Tree, list[int]]], smooth: float = 0.01) -> None:
         seen: dict[tuple, list[float]] = {}
         edges: dict[tuple, list[float]] = {}
         n = [2 * smooth, 2 * smooth]

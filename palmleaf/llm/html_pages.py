@@ -66,7 +66,8 @@ def inside():
         no("div", text(60), **{"class": "ad"}),
         no("div", no("p", text(180)), **{"class": "advert sponsored"}),
         no("aside", no("h3", text(15)), no("p", text(140)), no("ul", *links(3, 25))),
-        no("form", no("label", text(12)), no("input"), no("button", text(6))),
+        no("form", no("label", text(12)), no("input"), no("p", text(30)), no("p", text(90)), no("button", text(6))),
+        no("form", no("p", text(12)), no("div", no("label", text(10)), no("input")), no("p", text(160), no("a", text(9)))),
         no("div", no("p", text(120)), no("button", text(6)), **{"class": "cookie-notice"}),
         no("section", no("h2", text(10)), no("div", no("p", text(260)), no("span", text(12)), **{"class": "comment"}),
            no("div", no("p", text(90)), no("p", text(300)), **{"class": "comment"}), **{"class": "comments", "id": "comments"}),
@@ -96,8 +97,8 @@ def pages() -> list[tuple]:
             no("body", header(), no("div", yes("div", *article_parts(n), *inside(), **{"class": "post-content entry"}),
                no("div", no("h3", text(12)), no("p", text(160)), *links(4), **{"class": "sidebar"}), **{"class": "wrapper"}), footer()),
             no("body", no("div", *links(5), **{"class": "menu"}), no("div", no("p", text(130)), **{"class": "banner notice"}),
-               yes("div", *article_parts(n), **{"id": "content", "class": "main"}), *inside()[5:6], no("div", no("p", text(150)), **{"class": "footer", "id": "footer"})),
-            no("body", header(), yes("main", *article_parts(n)), *inside()[:6], footer()),
+               yes("div", *article_parts(n), **{"id": "content", "class": "main"}), *inside()[6:7], no("div", no("p", text(150)), **{"class": "footer", "id": "footer"})),
+            no("body", header(), yes("main", *article_parts(n)), *inside()[:7], footer()),
             no("body", no("div", no("ul", *links(6)), **{"id": "nav"}), no("div", no("div", yes("div", yes("div", yes("h1", text(30)), *paragraphs(n), **{"class": "text"}), **{"class": "story"}))),
                no("div", *links(6, 30), no("p", text(110)), **{"id": "sidebar"}), footer()),
         ]
