@@ -8,7 +8,7 @@ and value: equal values become equal pseudonyms in all documents, different ones
 stay different, and the key's holder can run the rounds backwards.
 
 Formats: card (13-19 digits, Luhn; the first two digits stay and the check digit
-is recomputed), phone (E.164 with ``+``, or North American with brackets; valid
+is recomputed), phone (E.164 with ``+``, or ten digits with brackets or hyphens; valid
 North American numbers stay valid), ip (IPv4), ssn, date (1900-01-01 to
 2099-11-11, ISO or day first with ``/`` or ``.``), email (the local part, letter
 for letter and digit for digit; the domain stays).
@@ -37,7 +37,7 @@ CARD = (
     r"(?!\w|-\d)"
 )
 PHONE = (
-    r"(?<![\w+])(?:\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4})(?!\w|-\d)"
+    r"(?<![\w+])(?:\+[1-9]\d{0,2}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\([2-9]\d{2}\) ?[2-9]\d{2}[-. ]\d{4}|\d{3}-\d{3}-\d{4})(?!\w|-\d)"
 )
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IP = rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"
@@ -136,7 +136,7 @@ def _card(value: Column, key: str) -> Column:
 
 def _phone(value: Column, key: str) -> Column:
     def of(d: Column) -> Column:
-        nanp = d.rlike(r"^1?[2-9]\d\d[2-9]\d{6}$") & (value.startswith("(") | d.startswith("1"))
+        nanp = d.rlike(r"^1?[2-9]\d\d[2-9]\d{6}$") & (~value.startswith("+") | d.startswith("1"))
         last = F.substring(d, -10, 10)
 
         def region(t: Column) -> Column:
