@@ -8,8 +8,9 @@ edit distance, not only with set difference.
 
 Candidates agree in at least ``AGREE`` sketches.  They come from stars, never from
 all pairs of a bucket: every text of a bucket is paired with the bucket's smallest
-text.  Where a bucket then still holds several groups, one text of each goes on to
-buckets of two sketches at once, where those that agree in two sketches meet again.  A candidate is
+text.  Where a bucket then still holds several groups (many unlike texts share a
+passage), one text of each goes on to buckets of a sketch and a length, so that a
+long text does not stand between short ones that are alike.  A candidate is
 accepted if a banded alignment of the word sequences needs at most
 ``(1 - SIMILARITY)`` edits per word of the longer text.  Classes are the connected
 components of the accepted links; exact copies are one text from the start and are
@@ -26,6 +27,7 @@ the class (null if all are null); repeated rows share a class.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -307,19 +309,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     links = _accepted(_agreeing(tried, nodes, similarity), texts, nodes, similarity)
 
     # buckets that still hold several groups: one text of each goes on to buckets of
-    # two sketches, where any two that agree in two sketches meet
+    # a sketch and a length, where texts of similar lengths meet again
     known = components(links)
     grouped = stars.join(known, "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
     several = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     open_ = grouped.groupBy("key", "root").agg(F.min("content").alias("content")).join(several, "key")
-    left = open_.groupBy("content").agg(F.array_sort(F.collect_set("key")).alias("keys"))  # SKETCHES at most
-    twos = left.select(
-        "content",
-        F.explode(
-            F.flatten(
-                F.transform("keys", lambda x, k: F.transform(F.slice("keys", k + 2, F.size("keys")), lambda y: F.xxhash64(x, y)))
-            )
-        ).alias("key"),
+    # lengths within the similarity are in the same step or in neighbouring ones
+    step = F.floor(F.log(F.greatest("n_words", F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("bigint")
+    sized = open_.join(nodes.select("content", step.alias("step")), "content")
+    twos = sized.select("content", F.explode(F.array("step", F.col("step") + 1)).alias("step"), "key").select(
+        "content", F.xxhash64("key", "step").alias("key")
     )
     again = _stars(twos).where("hub <> content").select("hub", "content").distinct().join(tried, ["hub", "content"], "left_anti")
     links = links.union(_accepted(_agreeing(again, nodes, similarity), texts, nodes, similarity))

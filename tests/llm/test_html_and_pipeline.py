@@ -153,6 +153,21 @@ def test_near_duplicate_groups_and_edges(spark):
     assert neardup.classes(docs.where("false")).count() == 0 and neardup.deduplicate(docs.where("false")).count() == 0
 
 
+def test_short_copies_between_long_texts(spark):
+    """Texts that are mostly a passage are near each other, not near long texts with it."""
+    rng = random.Random(12)
+    noise = lambda n: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [passage + " " + noise(200) for _ in range(50)] + [noise(3) + " " + passage + " " + noise(3) for _ in range(30)]
+    for _ in range(10):
+        base = noise(40) + " " + passage + " " + noise(40)
+        texts += [base, base + " " + noise(6)]
+    rng.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in neardup.classes(docs).collect()}
+    assert got == _brute(dict(enumerate(texts)))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     extra = spark.createDataFrame([(10**6, "1234 5678", "en", "s", 9), (10**6 + 1, None, None, None, None)], docs.schema)
