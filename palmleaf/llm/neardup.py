@@ -261,23 +261,27 @@ def _accepted(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(content, root) of linked texts: the smallest text of each component.
+    """(content, root) of linked texts: one text stands for each component.
 
-    Labels spread along links and along the labels of labels, so chains shorten by
-    more than half a round.
+    Each round points every text to its smallest neighbour and on to that one's,
+    then contracts the graph: links between texts of the same root vanish, so a
+    star is gone after one round and later rounds see few links.
     """
-    both = links.select(F.col("hub").alias("a"), F.col("content").alias("b"))
-    edges = stored(both.union(both.select("b", "a")).distinct(), "edges")
-    labels = stored(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("root")), "labels")
+    edges = stored(links.select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct(), "edges")
+    labels = None
     while True:
-        spread = edges.join(labels.select(F.col("a").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
-        jump = labels.select(F.col("a").alias("root"), F.col("root").alias("beyond"))
-        new = stored(
-            labels.join(spread, "a").join(jump, "root", "left").select("a", F.col("root").alias("was"), F.least("near", "beyond", "root").alias("root")),
-            "labels",
-        )
-        labels = new.select("a", "root")
-        if new.where("was <> root").isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up"))
+        beyond = near.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        step = stored(near.join(beyond, "up", "left").select("a", F.coalesce("top", "up").alias("to")), "step")
+        if labels is None:
+            labels = step.withColumnRenamed("to", "root")
+        else:
+            moved = step.select(F.col("a").alias("root"), "to")
+            labels = stored(labels.join(moved, "root", "left").select("a", F.coalesce("to", "root").alias("root")), "labels")
+        left = edges.join(step.withColumnRenamed("to", "x"), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        edges = stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        if edges.isEmpty():
             return labels.withColumnRenamed("a", "content")
 
 

@@ -153,6 +153,25 @@ def test_near_duplicate_groups_and_edges(spark):
     assert neardup.classes(docs.where("false")).count() == 0 and neardup.deduplicate(docs.where("false")).count() == 0
 
 
+def test_components_of_paths_and_stars(spark):
+    rng = random.Random(2)
+    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    pairs = [(min(p), max(p)) for p in pairs if p[0] != p[1]]
+    root = {}
+    for a, b in pairs:
+        x, y = root.setdefault(a, {a}), root.setdefault(b, {b})
+        for k in x | y:
+            root[k] = x | y
+    links = spark.createDataFrame([(bytearray([a >> 8, a & 255]), bytearray([b >> 8, b & 255])) for a, b in pairs], "hub binary, content binary")
+    got = {int.from_bytes(r.content, "big"): bytes(r.root) for r in neardup.components(links).collect()}
+    assert set(got) == set(root)
+    groups = {}
+    for k, r in got.items():
+        groups.setdefault(r, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(v) for v in {frozenset(v) for v in root.values()})
+    assert neardup.components(links.where("false")).count() == 0
+
+
 def test_short_copies_between_long_texts(spark):
     """Texts that are mostly a passage are near each other, not near long texts with it."""
     rng = random.Random(12)
