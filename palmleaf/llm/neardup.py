@@ -6,15 +6,21 @@ smallest labelled k-mers and keeps them in text order, so two texts agree in a
 sketch only if they share these passages in the same order: the chance falls with
 edit distance, not only with set difference.
 
-Candidates agree in at least ``AGREE`` sketches.  They come from stars, never from
-all pairs of a bucket: every text of a bucket is paired with the bucket's smallest
-text.  Where a bucket then still holds several groups (many unlike texts share a
-passage), one text of each goes on to buckets of a sketch and a length, so that a
-long text does not stand between short ones that are alike.  A candidate is
-accepted if a banded alignment of the word sequences needs at most
-``(1 - SIMILARITY)`` edits per word of the longer text.  Classes are the connected
-components of the accepted links; exact copies are one text from the start and are
-never paired with each other.
+The first candidates agree in at least ``AGREE`` sketches.  They come from stars,
+never from all pairs of a bucket: every text of a bucket is paired with the bucket's
+smallest text.  A candidate is accepted if a banded alignment of the word sequences
+needs at most ``(1 - SIMILARITY)`` edits per word of the longer text.
+
+What the sketches miss comes from an exact prefix filter.  An edit spoils one word of
+the longer text at most, so of its ``n`` words, labelled with their occurrence
+numbers, two near texts share ``n - k`` with ``k`` the allowed edits; whatever the
+order of all words, they then share ``s`` of their first ``k + s`` in it.  The order
+is from rare to common (by a table of hashed counts, which affects the number of
+candidates only), and all pairs that share so many and are not linked yet go to the
+alignment: no pair within the similarity is lost, short of a collision of hashes.
+
+Classes are the connected components of the accepted links; exact copies are one
+text from the start and are never paired with each other.
 
 All links, sketches and labels stay distributed; the driver sees counts.  Tables
 that are read twice are written to the shared folder.
@@ -27,7 +33,6 @@ the class (null if all are null); repeated rows share a class.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +49,12 @@ AGREE = 2
 SIMILARITY = 0.8
 #: Hash values held at once while a text is sketched.
 CELLS = 1 << 21
+#: Bits of a word's place in the table of counts: a byte each, sent to all tasks.
+COUNT_BITS = 23
+#: Places of the table that are summed together.
+CHUNK = 1 << 16
+#: Texts of a block: blocks of a bucket are joined in different tasks.
+BLOCK = 256
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -136,6 +147,39 @@ def sketch(words: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def allowed(n: int, similarity: float) -> int:
+    """Edits that the similarity allows to texts of which the longer has n words."""
+    return int((1 - similarity) * n + 1e-9)
+
+
+def _places(names: np.ndarray) -> np.ndarray:
+    return (names >> _U(64 - COUNT_BITS)).astype(np.int64)
+
+
+def _codes(counts: np.ndarray) -> np.ndarray:
+    """Counts as bytes in the same order: exact below 128, then by eighths of an octave."""
+    large = 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128))
+    return np.where(counts < 128, counts, np.minimum(large, 255)).astype(np.uint8)
+
+
+def shared_least(n: int, similarity: float) -> int:
+    """Words that two near texts must share in their prefixes, for the one of n words."""
+    return 1 + min(4, allowed(n, similarity) // 4)
+
+
+def rare_words(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.ndarray:
+    """The text's prefix of labelled words from rare to common, without those that
+    no other text has."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.int64)
+    names = labelled(words)
+    code = codes[_places(names)].astype(np.uint64)
+    order = np.sort((code << _U(56)) | (names & _U((1 << 56) - 1)))
+    first = order[: allowed(n, similarity) + shared_least(n, similarity)]
+    return first[first >> _U(56) > 1].view(np.int64)
+
+
 def _exact_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
     """Whether the word edit distance is at most ``most``: the alignment inside
     the band of that half-width."""
@@ -171,11 +215,13 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     """
     n, m = len(a), len(b)
     longer = max(n, m)
-    most = int((1 - similarity) * longer + 1e-9)
+    most = allowed(longer, similarity)
     if not longer or min(n, m) < longer - most:
         return False
     if n == m and (a != b).sum() <= most:
         return True
+    if len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < longer - most:
+        return False  # an edit spoils one word at most
     if min(n, m) < K:
         return _exact_within(a, b, most)
     common, at, bt = np.intersect1d(labelled(kmers(a)), labelled(kmers(b)), assume_unique=True, return_indices=True)
@@ -194,19 +240,62 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return _exact_within(a, b, most)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by place of their labelled words: sparse sums of a task, by chunk."""
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
     for batch in batches:
-        texts = batch.column(batch.num_columns - 1).to_pylist()
-        words = [word_hashes(t) for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:-1],
-                pa.array([hashlib.md5(t).digest() if t is not None else None for t in texts], pa.binary()),
-                pa.array([len(w) for w in words], pa.int64()),
-                pa.array([sketch(w) for w in words], pa.list_(pa.int64())),
-            ],
-            names=[*batch.schema.names[:-1], "content", "n_words", "keys"],
-        )
+        for raw in batch.column(0).to_pylist():
+            words = word_hashes(raw)
+            if len(words):
+                np.add.at(counts, _places(labelled(words)), 1)
+    for chunk in range(0, len(counts), CHUNK):
+        part = counts[chunk : chunk + CHUNK]
+        at = np.flatnonzero(part)
+        if len(at):
+            arrays = [[chunk // CHUNK], [at.astype(np.uint16).tobytes()], [part[at].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "n"])
+
+
+def _sum_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            total = sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+    for chunk, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_codes(total).tobytes()], pa.binary())], names=["chunk", "codes"])
+
+
+def word_codes(raws: DataFrame) -> np.ndarray:
+    """How many texts have a labelled word, as a byte by place; only this table of
+    fixed size reaches the driver."""
+    tallies = raws.mapInArrow(_tally, "chunk int, at binary, n binary")
+    sums = tallies.repartition(16, "chunk").mapInArrow(_sum_tallies, "chunk int, codes binary")
+    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    for r in sums.collect():
+        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.codes, np.uint8)
+    return out
+
+
+def _sketches(shared, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            words = [word_hashes(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:-1],
+                    pa.array([hashlib.md5(t).digest() if t is not None else None for t in texts], pa.binary()),
+                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array([sketch(w) for w in words], pa.list_(pa.int64())),
+                    pa.array([shared_least(len(w), similarity) for w in words], pa.int32()),
+                    pa.array([rare_words(w, codes, similarity) for w in words], pa.list_(pa.int64())),
+                ],
+                names=[*batch.schema.names[:-1], "content", "n_words", "keys", "least", "rare"],
+            )
+
+    return run
 
 
 def _verify(similarity: float):
@@ -242,6 +331,29 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
     return both.where((small >= similarity * large - 1) & (shared >= AGREE)).select("hub", "content")
 
 
+def _unlinked(nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of the prefix filter that the links do not join yet."""
+    known = components(links)
+    rare = (
+        nodes.join(known, "content", "left")
+        .select("content", F.coalesce("root", "content").alias("root"), "n_words", "least", F.explode("rare").alias("key"))
+    )
+    mixed = rare.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    # a large bucket is dealt in blocks: each pair of its blocks meets in one place
+    open_ = stored(
+        rare.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("content"), "blocks").cast("int")),
+        "buckets",
+    )
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    one = open_.select("key", F.col("block").alias("i"), every.alias("j"), F.col("content").alias("hub"), F.col("root").alias("hub_root"), F.col("n_words").alias("hub_n"), F.col("least").alias("hub_least"))
+    two = open_.select("key", every.alias("i"), F.col("block").alias("j"), "content", "root", "n_words", "least")
+    small, large = F.least("hub_n", "n_words"), F.greatest("hub_n", "n_words")
+    met = one.join(two, ["key", "i", "j"]).where((F.col("hub") < F.col("content")) & (F.col("hub_root") != F.col("root")) & (small >= similarity * large - 1))
+    both = met.groupBy("hub", "content").agg(F.count("*").alias("both"), F.first(F.least("hub_least", "least")).alias("need"))
+    return both.where("both >= need").select("hub", "content")
+
+
 def _accepted(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs that the alignment accepts.  Texts are shuffled once, and only those of
     candidates go further: each from the row with its first id."""
@@ -290,15 +402,17 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     null text) and keeper (the digest that stands for the class)."""
     tune(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
+    raws = docs.select(F.col(text_col).cast("binary").alias("raw"))
+    shared = docs.sparkSession.sparkContext.broadcast(word_codes(raws))
     rows = stored(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(
-            _sketches, f"id {id_type}, content binary, n_words bigint, keys array<bigint>"
+            _sketches(shared, similarity), f"id {id_type}, content binary, n_words bigint, keys array<bigint>, least int, rare array<bigint>"
         ),
         "sketches",
     )
     nodes = stored(
         rows.where("content IS NOT NULL").groupBy("content").agg(
-            F.min("id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("keys").alias("keys")
+            F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "least", "rare"))
         ),
         "texts",
     )
@@ -311,21 +425,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     stars = stored(_stars(buckets), "stars")
     tried = stars.where("hub <> content").select("hub", "content").distinct()
     links = _accepted(_agreeing(tried, nodes, similarity), texts, nodes, similarity)
-
-    # buckets that still hold several groups: one text of each goes on to buckets of
-    # a sketch and a length, where texts of similar lengths meet again
-    known = components(links)
-    grouped = stars.join(known, "content", "left").select("key", "content", F.coalesce("root", "content").alias("root"))
-    several = grouped.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = grouped.groupBy("key", "root").agg(F.min("content").alias("content")).join(several, "key")
-    # lengths within the similarity are in the same step or in neighbouring ones
-    step = F.floor(F.log(F.greatest("n_words", F.lit(1)).cast("double")) / math.log(1 / similarity)).cast("bigint")
-    sized = open_.join(nodes.select("content", step.alias("step")), "content")
-    twos = sized.select("content", F.explode(F.array("step", F.col("step") + 1)).alias("step"), "key").select(
-        "content", F.xxhash64("key", "step").alias("key")
-    )
-    again = _stars(twos).where("hub <> content").select("hub", "content").distinct().join(tried, ["hub", "content"], "left_anti")
-    links = links.union(_accepted(_agreeing(again, nodes, similarity), texts, nodes, similarity))
+    links = links.union(_accepted(_unlinked(nodes, links, similarity), texts, nodes, similarity))
 
     roots = nodes.select("content", "first_id").join(components(links), "content", "left").withColumn("root", F.coalesce("root", "content"))
     heads = roots.groupBy("root").agg(
