@@ -11,13 +11,15 @@ never from all pairs of a bucket: every text of a bucket is paired with the buck
 smallest text.  A candidate is accepted if a banded alignment of the word sequences
 needs at most ``(1 - SIMILARITY)`` edits per word of the longer text.
 
-What the sketches miss comes from an exact prefix filter.  An edit spoils one word of
-the longer text at most, so of its ``n`` words, labelled with their occurrence
-numbers, two near texts share ``n - k`` with ``k`` the allowed edits; whatever the
-order of all words, they then share ``s`` of their first ``k + s`` in it.  The order
-is from rare to common (by a table of hashed counts, which affects the number of
-candidates only), and all pairs that share so many and are not linked yet go to the
-alignment: no pair within the similarity is lost, short of a collision of hashes.
+What the sketches miss comes from an exact prefix filter.  An edit spoils ``q`` of the
+``n`` grams of ``q`` words of the longer text at most, so of these, labelled with
+their occurrence numbers, two near texts share ``n - q * k`` with ``k`` the allowed
+edits; whatever the order of all grams, they then share ``s`` of their first
+``q * k + s`` in it.  The order is from rare to common (by a table of hashed counts,
+which affects the number of candidates only), and all pairs that share so many and
+are not linked yet go to the alignment: no pair within the similarity is lost, short
+of a collision of hashes.  Grams are pairs of words if the shorter text has
+``PAIRS_FROM`` words, else single words.
 
 Classes are the connected components of the accepted links; exact copies are one
 text from the start and are never paired with each other.
@@ -49,8 +51,10 @@ AGREE = 2
 SIMILARITY = 0.8
 #: Hash values held at once while a text is sketched.
 CELLS = 1 << 21
-#: Bits of a word's place in the table of counts: a byte each, sent to all tasks.
-COUNT_BITS = 23
+#: Words of a text from which its pairs of words are keys.
+PAIRS_FROM = 16
+#: Bits of a gram's place in the table of counts: a byte each, sent to all tasks.
+COUNT_BITS = 24
 #: Places of the table that are summed together.
 CHUNK = 1 << 16
 #: Texts of a block: blocks of a bucket are joined in different tasks.
@@ -163,20 +167,39 @@ def _codes(counts: np.ndarray) -> np.ndarray:
 
 
 def shared_least(n: int, similarity: float) -> int:
-    """Words that two near texts must share in their prefixes, for the one of n words."""
+    """Grams that two near texts must share in their prefixes, for the one of n words."""
     return 1 + min(4, allowed(n, similarity) // 4)
 
 
-def rare_words(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.ndarray:
-    """The text's prefix of labelled words from rare to common, without those that
+def grams(words: np.ndarray, similarity: float) -> list[tuple[int, np.ndarray]]:
+    """(q, labelled grams) that are a text's keys: a text that may be near both
+    shorter and longer ones than ``PAIRS_FROM`` has both kinds."""
+    n, out = len(words), []
+    if 0 < n and n - allowed(n, similarity) < PAIRS_FROM:
+        out.append((1, labelled(words)))
+    if n >= PAIRS_FROM:
+        out.append((2, labelled(_mix(words[:-1] * _PLACES[0] + words[1:] * _PLACES[1]))))
+    return out
+
+
+def prefix_length(n: int, q: int, similarity: float) -> int:
+    """Grams of a text of n words among which those shared with any near one lie."""
+    longer = np.arange(n, int(n / similarity) + 3)
+    shared = longer - q + 1 - q * np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
+    least = shared_least(n, similarity)
+    # too little in common to bound: every gram
+    return n - q + 1 if shared.min() < least else n - q + 1 - int(shared.min()) + least
+
+
+def rare_grams(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.ndarray:
+    """The text's prefixes of labelled grams from rare to common, without those that
     no other text has."""
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.int64)
-    names = labelled(words)
-    code = codes[_places(names)].astype(np.uint64)
-    order = np.sort((code << _U(56)) | (names & _U((1 << 56) - 1)))
-    first = order[: allowed(n, similarity) + shared_least(n, similarity)]
+    out = [np.zeros(0, np.uint64)]
+    for q, names in grams(words, similarity):
+        code = codes[_places(names)].astype(np.uint64)
+        order = np.sort((code << _U(56)) | (names & _U((1 << 56) - 1)))
+        out.append(order[: prefix_length(len(words), q, similarity)])
+    first = np.concatenate(out)
     return first[first >> _U(56) > 1].view(np.int64)
 
 
@@ -240,20 +263,23 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return _exact_within(a, b, most)
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts by place of their labelled words: sparse sums of a task, by chunk."""
-    counts = np.zeros(1 << COUNT_BITS, np.int64)
-    for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            words = word_hashes(raw)
-            if len(words):
-                np.add.at(counts, _places(labelled(words)), 1)
-    for chunk in range(0, len(counts), CHUNK):
-        part = counts[chunk : chunk + CHUNK]
-        at = np.flatnonzero(part)
-        if len(at):
-            arrays = [[chunk // CHUNK], [at.astype(np.uint16).tobytes()], [part[at].tobytes()]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "n"])
+def _tally(similarity: float):
+    """Texts by place of their grams: sparse sums of a task, by chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNT_BITS, np.uint32)
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                for _, names in grams(word_hashes(raw), similarity):
+                    np.add.at(counts, _places(names), 1)
+        for chunk in range(0, len(counts), CHUNK):
+            part = counts[chunk : chunk + CHUNK]
+            at = np.flatnonzero(part)
+            if len(at):
+                arrays = [[chunk // CHUNK], [at.astype(np.uint16).tobytes()], [part[at].tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "n"])
+
+    return run
 
 
 def _sum_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,15 +287,15 @@ def _sum_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             total = sums.setdefault(chunk, np.zeros(CHUNK, np.int64))
-            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.int64)
+            total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
     for chunk, total in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_codes(total).tobytes()], pa.binary())], names=["chunk", "codes"])
 
 
-def word_codes(raws: DataFrame) -> np.ndarray:
-    """How many texts have a labelled word, as a byte by place; only this table of
+def gram_codes(raws: DataFrame, similarity: float) -> np.ndarray:
+    """How many texts have a labelled gram, as a byte by place; only this table of
     fixed size reaches the driver."""
-    tallies = raws.mapInArrow(_tally, "chunk int, at binary, n binary")
+    tallies = raws.mapInArrow(_tally(similarity), "chunk int, at binary, n binary")
     sums = tallies.repartition(16, "chunk").mapInArrow(_sum_tallies, "chunk int, codes binary")
     out = np.zeros(1 << COUNT_BITS, np.uint8)
     for r in sums.collect():
@@ -289,10 +315,9 @@ def _sketches(shared, similarity: float):
                     pa.array([hashlib.md5(t).digest() if t is not None else None for t in texts], pa.binary()),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([sketch(w) for w in words], pa.list_(pa.int64())),
-                    pa.array([shared_least(len(w), similarity) for w in words], pa.int32()),
-                    pa.array([rare_words(w, codes, similarity) for w in words], pa.list_(pa.int64())),
+                    pa.array([rare_grams(w, codes, similarity) for w in words], pa.list_(pa.int64())),
                 ],
-                names=[*batch.schema.names[:-1], "content", "n_words", "keys", "least", "rare"],
+                names=[*batch.schema.names[:-1], "content", "n_words", "keys", "rare"],
             )
 
     return run
@@ -334,24 +359,25 @@ def _agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 def _unlinked(nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
     """All pairs of the prefix filter that the links do not join yet."""
     known = components(links)
-    rare = (
-        nodes.join(known, "content", "left")
-        .select("content", F.coalesce("root", "content").alias("root"), "n_words", "least", F.explode("rare").alias("key"))
+    # short rows: numbers stand for contents
+    rare = nodes.join(known, "content", "left").select(
+        F.xxhash64("content").alias("id"), F.xxhash64(F.coalesce("root", "content")).alias("root"), F.col("n_words").cast("int").alias("n"), F.explode("rare").alias("key")
     )
-    mixed = rare.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where("x <> y")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    mixed = rare.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y")
+    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
     # a large bucket is dealt in blocks: each pair of its blocks meets in one place
-    open_ = stored(
-        rare.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("content"), "blocks").cast("int")),
-        "buckets",
-    )
+    open_ = stored(rare.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int")), "buckets")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = open_.select("key", F.col("block").alias("i"), every.alias("j"), F.col("content").alias("hub"), F.col("root").alias("hub_root"), F.col("n_words").alias("hub_n"), F.col("least").alias("hub_least"))
-    two = open_.select("key", every.alias("i"), F.col("block").alias("j"), "content", "root", "n_words", "least")
-    small, large = F.least("hub_n", "n_words"), F.greatest("hub_n", "n_words")
-    met = one.join(two, ["key", "i", "j"]).where((F.col("hub") < F.col("content")) & (F.col("hub_root") != F.col("root")) & (small >= similarity * large - 1))
-    both = met.groupBy("hub", "content").agg(F.count("*").alias("both"), F.first(F.least("hub_least", "least")).alias("need"))
-    return both.where("both >= need").select("hub", "content")
+    one = open_.select("key", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
+    two = open_.select("key", every.alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
+    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    met = one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (small >= similarity * large - 1))
+    # shared_least of the shorter text
+    need = 1 + F.least(F.lit(4), F.floor(F.floor((1 - similarity) * F.col("small") + 1e-9) / 4))
+    both = met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first(small).alias("small")).where(F.col("both") >= need)
+    name = lambda k, c: nodes.select(F.xxhash64("content").alias(k), F.col("content").alias(c))
+    named = both.select("a", "b").join(name("a", "one"), "a").join(name("b", "two"), "b")
+    return named.select(F.least("one", "two").alias("hub"), F.greatest("one", "two").alias("content"))
 
 
 def _accepted(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -403,16 +429,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     tune(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     raws = docs.select(F.col(text_col).cast("binary").alias("raw"))
-    shared = docs.sparkSession.sparkContext.broadcast(word_codes(raws))
+    shared = docs.sparkSession.sparkContext.broadcast(gram_codes(raws, similarity))
     rows = stored(
         docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(
-            _sketches(shared, similarity), f"id {id_type}, content binary, n_words bigint, keys array<bigint>, least int, rare array<bigint>"
+            _sketches(shared, similarity), f"id {id_type}, content binary, n_words bigint, keys array<bigint>, rare array<bigint>"
         ),
         "sketches",
     )
     nodes = stored(
         rows.where("content IS NOT NULL").groupBy("content").agg(
-            F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "least", "rare"))
+            F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "rare"))
         ),
         "texts",
     )

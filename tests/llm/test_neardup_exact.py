@@ -41,3 +41,28 @@ def test_copies_among_unlike_texts_of_one_length(spark):
             pairs.append((len(texts) - 1, len(texts)))
             texts.append(_edited(rng, base, rng.sample(range(70, 100), 9)))
     _check(spark, texts, pairs)
+
+
+def test_copies_with_scattered_edits(spark):
+    """Edits spread so that few or no 5-word k-mers are left, and short texts."""
+    rng = random.Random(22)
+    texts, pairs = [], []
+
+    def plant(n, places):
+        base = _noise(rng, n)
+        pairs.append((len(texts), len(texts) + 1))
+        texts.extend([base, _edited(rng, base, places)])
+
+    for _ in range(20):
+        plant(100, rng.sample(range(100), 19))
+        plant(400, range(2, 400, 5))
+        plant(100, range(3, 100, 7))
+        plant(10, [5])
+        plant(20, rng.sample(range(20), 3))
+        plant(5, [2])
+    common = [f"c{k}" for k in range(60)]  # a small vocabulary
+    for _ in range(20):
+        base = [rng.choice(common) for _ in range(40)]
+        pairs.append((len(texts), len(texts) + 1))
+        texts.extend([base, _edited(rng, base, range(4, 40, 5))])
+    _check(spark, texts, pairs)
