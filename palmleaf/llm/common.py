@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palmleaf.plans.session import prepare, shared_dir, stored
+from palmleaf.plans.session import discard, prepare, shared_dir, stored
 
 #: Rows of one Arrow batch sent to a Python worker.  Texts can be long, so the
 #: default of 10,000 rows would let a batch grow to gigabytes.
@@ -50,4 +50,4 @@ def fields(docs: DataFrame, keep: list[str]) -> list[str]:
     return [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
 
 
-__all__ = ["fields", "kept", "prepare", "shared_dir", "stored", "table", "texts_of", "tune", "unclashed", "with_text"]
+__all__ = ["discard", "fields", "kept", "prepare", "shared_dir", "stored", "table", "texts_of", "tune", "unclashed", "with_text"]

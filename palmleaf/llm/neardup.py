@@ -1,71 +1,90 @@
 """Near-duplicates by Order MinHash and banded alignment.
 
-Words are lower-case; a k-mer is ``K`` of them in a row, labelled with its
-occurrence number in the text.  Each of ``SKETCHES`` hash functions picks the two
-smallest labelled k-mers and keeps them in text order, so two texts agree in a
-sketch only if they share these passages in the same order: the chance falls with
-edit distance, not only with set difference.
-
-The first candidates agree in at least ``AGREE`` sketches.  They come from stars,
-never from all pairs of a bucket: every text of a bucket is paired with the bucket's
-smallest text.  A candidate is accepted if a banded alignment of the word sequences
-needs at most ``(1 - SIMILARITY)`` edits per word of the longer text.
-
-What the sketches miss comes from an exact prefix filter.  An edit spoils ``q`` of the
-``n`` grams of ``q`` words of the longer text at most, so of these, labelled with
-their occurrence numbers, two near texts share ``n - q * k`` with ``k`` the allowed
-edits; whatever the order of all grams, they then share ``s`` of their first
-``q * k + s`` in it.  The order is from rare to common (by a table of hashed counts,
-which affects the number of candidates only), and all pairs that share so many and
-are not linked yet go to the alignment: no pair within the similarity is lost, short
-of a collision of hashes.  Grams are pairs of words if the shorter text has
-``PAIRS_FROM`` words, else single words.
-
-Classes are the connected components of the accepted links; exact copies are one
-text from the start and are never paired with each other.
-
-All links, sketches and labels stay distributed; the driver sees counts.  Tables
-that are read twice are written to the shared folder.
+Similarity is the edit similarity of two texts' lower-cased words: 1 - edits / words
+of the longer text, at least ``SIMILARITY``.
+
+Sketches.  A k-mer is ``k`` words in a row, labelled with its occurrence number in
+the text.  Each of ``SKETCHES`` hash functions picks the two smallest labelled k-mers
+and keeps them in text order, so two texts agree in a sketch only if they share both
+passages in the same order: the chance falls with edit distance, not only with set
+difference.  k goes by the length of the shorter text (``k_of``): single words of the
+shortest texts, pairs, then triples; a text whose partners may fall on both sides of a
+border has sketches of both kinds.  One agreement makes a candidate.  At the least
+similarity, a fifth of the words edited, triples spread over the text at random agree
+in 7 to 8 of 64 sketches on average and miss each other in one pair of 3,000; with
+an edit in exactly every fifth word, the worst case, in one of 60.
+
+Candidates.  First each text of a bucket (a sketch's value) meets the bucket's hub, one
+of its texts.  Then the components of the accepted links are known, and in every bucket
+that still holds several of them, all texts of different components meet: no link is
+left to the luck of the hub.  Buckets of more than ``SMALL`` texts would square there;
+their texts meet by an exact prefix filter instead, in which the sketches play no part.
+
+Prefix filter.  An edit spoils ``q`` of the ``n`` grams of ``q`` words of the longer
+text at most, so of these, labelled with their occurrence numbers, two near texts share
+``n - q * e`` with ``e`` the allowed edits; whatever the order of all grams, they then
+share ``s`` of their first ``q * e + s`` in it.  The order is from rare to common (by a
+table of hashed counts, which affects the number of candidates only), so no pair of
+these texts is lost, short of a collision of hashes.
+
+Before any text is moved, a pair must pass a lower bound of its edits: ``BINS`` word
+counts by hash, of which an edit moves two at most.  What passes is decided by the
+banded alignment alone.
+
+Classes are the connected components of the accepted links; exact copies are one text
+from the start and are never paired with each other.  All links, sketches and labels
+stay distributed; the driver sees counts.  Tables that are read twice are written to the
+shared folder, and removed when nothing reads them any more.
 
 Defined results: a null text is a class of its own; texts without words are near
-nothing, but exact copies of one are one class; class_id is the smallest doc_id of
-the class (null if all are null); repeated rows share a class.
+nothing, but exact copies of one are one class; class_id is the smallest doc_id of the
+class (null if all are null); repeated rows share a class; an empty table gives no row.
+Columns of the input other than the id and the text are not read by ``classes`` and pass
+through ``deduplicate`` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import stored, tune
+from palmleaf.llm.common import discard, stored, tune
 from palmleaf.llm.decontaminate import _FOLD
 
-K = 5
-SKETCHES = 32
-AGREE = 2
+SKETCHES = 64
 SIMILARITY = 0.8
+#: Words of the shorter text from which k-mers of 2 and of 3 words are sampled.
+K_FROM = ((48, 3), (16, 2), (0, 1))
+#: Places of the word counts that bound a pair's edits from below.
+BINS = 64
+#: Texts of a bucket that meet in it; those of larger ones meet by the prefix filter.
+SMALL = 256
 #: Hash values held at once while a text is sketched.
 CELLS = 1 << 21
-#: Words of a text from which its pairs of words are keys.
+#: Words of a text from which its pairs of words are keys of the prefix filter.
 PAIRS_FROM = 16
 #: Bits of a gram's place in the table of counts: a byte each, sent to all tasks.
 COUNT_BITS = 24
 #: Places of the table that are summed together.
 CHUNK = 1 << 16
-#: Texts of a block: blocks of a bucket are joined in different tasks.
+#: Texts of a block: blocks of a bucket of the prefix filter meet in different tasks.
 BLOCK = 256
+#: Rows of a table of names up to which it is sent to all tasks: some 30 bytes each.
+NAMES = 400_000
+#: Rows of the alignment whose bits are one number; longer texts have several.
+ROWS = 1 << 14
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _rng = np.random.default_rng(9)
 _SEEDS = _rng.integers(1, 1 << 63, SKETCHES, dtype=np.uint64) * _U(2) + _U(1)
-_PLACES = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * _U(2) + _U(1)
+_PLACES = _rng.integers(1, 1 << 63, 5, dtype=np.uint64) * _U(2) + _U(1)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -102,16 +121,21 @@ def word_hashes(raw: bytes | None) -> np.ndarray:
     return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def kmers(words: np.ndarray) -> np.ndarray:
-    """Hashes of the K-word windows; a shorter text is one window."""
+def k_of(n: int) -> int:
+    """Words of a k-mer if the shorter text of a pair has n."""
+    return next(k for least, k in K_FROM if n >= least)
+
+
+def kmers(words: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the windows of k words; a shorter text is one window."""
     n = len(words)
     if n == 0:
         return words
-    if n < K:
+    if n < k:
         return _mix((words * _PLACES[:n]).sum(dtype=np.uint64, keepdims=True))
-    out = words[: n - K + 1] * _PLACES[0]
-    for k in range(1, K):
-        out = out + words[k : n - K + 1 + k] * _PLACES[k]
+    out = words[: n - k + 1] * _PLACES[0]
+    for at in range(1, k):
+        out = out + words[at : n - k + 1 + at] * _PLACES[at]
     return _mix(out)
 
 
@@ -129,9 +153,9 @@ def labelled(mers: np.ndarray) -> np.ndarray:
     return _mix(out)
 
 
-def sketch(words: np.ndarray) -> np.ndarray:
+def sketch(words: np.ndarray, k: int) -> np.ndarray:
     """One number a sketch: its two k-mers in text order, and the sketch's own."""
-    mers = kmers(words)
+    mers = kmers(words, k)
     if not len(mers):
         return np.zeros(0, np.int64)
     names = labelled(mers)
@@ -147,10 +171,22 @@ def sketch(words: np.ndarray) -> np.ndarray:
             table[rows, one] = np.iinfo(np.uint64).max
             two = table.argmin(axis=1)
         left, right = np.minimum(one, two), np.maximum(one, two)
-        out[at : at + step] = _mix(mers[left] * _PLACES[0] + mers[right] * _PLACES[1] + _SEEDS[at : at + step])
+        out[at : at + step] = _mix(mers[left] * _PLACES[0] + mers[right] * _PLACES[1] + _SEEDS[at : at + step] + _U(k))
     return out.view(np.int64)
 
 
+def sketches(words: np.ndarray, similarity: float) -> np.ndarray:
+    """The sketches of all kinds that a pair with the text may have."""
+    n = len(words)
+    kinds = sorted({k_of(m) for m in (n, n - allowed(n, similarity))})
+    return np.concatenate([sketch(words, k) for k in kinds])
+
+
+def bag(words: np.ndarray) -> np.ndarray:
+    """Word counts by hash, cut off where a byte ends."""
+    return np.minimum(np.bincount((words >> _U(40)).astype(np.int64) % BINS, minlength=BINS), 127).astype(np.int8)
+
+
 def allowed(n: int, similarity: float) -> int:
     """Edits that the similarity allows to texts of which the longer has n words."""
     return int((1 - similarity) * n + 1e-9)
@@ -203,39 +239,56 @@ def rare_grams(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.nd
     return first[first >> _U(56) > 1].view(np.int64)
 
 
-def _exact_within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
-    """Whether the word edit distance is at most ``most``: the alignment inside
-    the band of that half-width."""
+def _columns_of(a: np.ndarray, width: int) -> Callable[[int, int], int]:
+    """(word, row) -> number whose bit b tells whether the word is at row + b."""
+    n, full = len(a), (1 << width) - 1
+    masks: list[dict[int, int]] = []
+    for start in range(0, n, ROWS):
+        masks.append(found := {})
+        for k, word in enumerate(a[start : start + ROWS].tolist()):
+            found[word] = found.get(word, 0) | 1 << k
+    if len(masks) == 1:
+        only = masks[0].get
+        return lambda word, row: (only(word, 0) >> row if row >= 0 else only(word, 0) << -row) & full
+
+    def bits(word: int, row: int) -> int:
+        first, last = max(row, 0) // ROWS, min(row + width - 1, n - 1) // ROWS
+        whole = int.from_bytes(b"".join(m.get(word, 0).to_bytes(ROWS // 8, "little") for m in masks[first : last + 1]), "little")
+        row -= first * ROWS
+        return (whole >> row if row >= 0 else whole << -row) & full
+
+    return bits
+
+
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether the word edit distance is at most ``most``: the alignment inside the
+    band of that half-width, a column of the band at a time as bits of one number
+    (differences between neighbouring cells, all rows at once)."""
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return False
+    if not most:
+        return bool((a == b).all())
     width = 2 * most + 1
-    offsets = np.arange(-most, most + 1)
-    far = n + m + 1
-    row = np.where((offsets >= 0) & (offsets <= m), offsets, far)  # cell (0, offset)
-    ramp = np.arange(width)
-    padded = np.concatenate((np.zeros(most + 1, np.uint64), b, np.zeros(most + 1 + max(0, n - m), np.uint64)))
-    for i in range(1, n + 1):
-        j = i + offsets
-        valid = (j >= 0) & (j <= m)
-        same = padded[i : i + width] == a[i - 1]  # b[j - 1]
-        step = np.where(valid & (j >= 1), row + ~(same & (j >= 1)), far)
-        step[:-1] = np.minimum(step[:-1], row[1:] + 1)
-        step = np.where(valid, step, far)
-        step[valid & (j == 0)] = i
-        row = np.minimum.accumulate(step - ramp) + ramp
-        row = np.where(valid, row, far)
-        if row.min() > most:
-            return False
-    return bool(row[most + m - n] <= most)
+    full, goal = (1 << width) - 1, n - m + most  # the last cell's diagonal
+    column = _columns_of(a, width)
+    up, down, edits = full ^ ((1 << most) - 1), 0, abs(n - m)
+    for j, word in enumerate(b.tolist()):
+        same = column(word, j - most)
+        flat = ((((same & up) + up) ^ up) | same | down) & full  # a diagonal step without an edit
+        right, left = down | (full ^ (flat | up)), flat & up
+        if j + n - m >= 0 and not flat >> goal & 1:
+            edits += 1
+            if edits > most:
+                return False
+        flat >>= 1  # the band moves a row down
+        up, down = left | (full ^ (flat | right)), flat & right
+    return True
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
-    """Whether the aligned words differ in at most the allowed edits.
-
-    Shared k-mers in order give an alignment, whose edits are an upper bound, and
-    their number a lower bound; between the bounds the band decides.
-    """
+    """Whether the aligned words differ in at most the allowed edits: simple bounds
+    either way first, then the band."""
     n, m = len(a), len(b)
     longer = max(n, m)
     most = allowed(longer, similarity)
@@ -245,22 +298,7 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
         return True
     if len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < longer - most:
         return False  # an edit spoils one word at most
-    if min(n, m) < K:
-        return _exact_within(a, b, most)
-    common, at, bt = np.intersect1d(labelled(kmers(a)), labelled(kmers(b)), assume_unique=True, return_indices=True)
-    if longer - K + 1 - len(common) > K * most:
-        return False  # an edit spoils K k-mers at most
-    if len(common):
-        order = np.argsort(at)
-        at, bt = at[order], bt[order]
-        keep = bt >= np.maximum.accumulate(bt)
-        at, bt = at[keep], bt[keep]
-        da, db = np.diff(at), np.diff(bt)
-        shared = np.minimum(np.minimum(da, db), K)
-        edits = (np.maximum(da, db) - shared).sum() + max(at[0], bt[0]) + max(n - K - at[-1], m - K - bt[-1])
-        if edits <= most:
-            return True
-    return _exact_within(a, b, most)
+    return within(a, b, most)
 
 
 def _tally(similarity: float):
@@ -303,34 +341,43 @@ def gram_codes(raws: DataFrame, similarity: float) -> np.ndarray:
     return out
 
 
-def _sketches(shared, similarity: float):
+def _sketches(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(1).to_pylist()
             words = [word_hashes(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:-1],
+                    batch.column(0),
                     pa.array([hashlib.md5(t).digest() if t is not None else None for t in texts], pa.binary()),
                     pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([sketch(w) for w in words], pa.list_(pa.int64())),
-                    pa.array([rare_grams(w, codes, similarity) for w in words], pa.list_(pa.int64())),
+                    pa.array([bag(w) for w in words], pa.list_(pa.int8())),
+                    pa.array([sketches(w, similarity) if len(w) else [] for w in words], pa.list_(pa.int64())),
                 ],
-                names=[*batch.schema.names[:-1], "content", "n_words", "keys", "rare"],
+                names=["id", "content", "n", "bag", "keys"],
             )
 
     return run
 
 
+def _rare(shared, similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = shared.value
+        for batch in batches:
+            rare = [rare_grams(word_hashes(t), codes, similarity) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int64()))], names=["num", "rare"])
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hashes = None, None
         for batch in batches:
             keep = []
-            for name, one, two in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3)), strict=True):
-                if name != hub:  # rows of a hub come in runs
-                    hub, hashes = name, word_hashes(one)
+            for one, two in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
+                if one != hub:  # rows of a text come in runs
+                    hub, hashes = one, word_hashes(one)
                 keep.append(similar(hashes, word_hashes(two), similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -341,71 +388,115 @@ def content_of(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
 
-def _stars(buckets: DataFrame) -> DataFrame:
-    """(key, hub, content) of all buckets with two texts at least."""
-    hubs = buckets.groupBy("key").agg(F.min("content").alias("hub"), F.max("content").alias("last")).where("hub <> last")
-    return buckets.join(hubs.select("key", "hub"), "key")
+def _near(similarity: float) -> Column:
+    """Whether the lengths and word counts of x and y leave room for the similarity:
+    s words replaced and d more or less move the counts by 2 * s + d at most."""
+    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    most = F.floor((1 - similarity) * large + 1e-9)
+    apart = F.aggregate(F.zip_with("x_bag", "y_bag", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, d: s + d)
+    # lengths first: the counts are only summed where these allow it
+    return F.when(small < large - most, False).otherwise(apart <= 2 * most - (large - small))
 
 
-def _agreeing(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose lengths allow the similarity and that agree in enough sketches."""
-    side = lambda name: nodes.select(F.col("content").alias(name), F.col("keys").alias(f"{name}_keys"), F.col("n_words").alias(f"{name}_n"))
-    both = pairs.join(side("content"), "content").join(side("hub"), "hub")
-    shared = F.size(F.filter(F.zip_with("hub_keys", "content_keys", lambda x, y: x == y), lambda x: x))
-    small, large = F.least("hub_n", "content_n"), F.greatest("hub_n", "content_n")
-    return both.where((small >= similarity * large - 1) & (shared >= AGREE)).select("hub", "content")
+def _side(nodes: DataFrame, name: str) -> DataFrame:
+    return nodes.select(F.col("num").alias(name), F.col("n").alias(f"{name}_n"), F.col("bag").alias(f"{name}_bag"))
 
 
-def _unlinked(nodes: DataFrame, links: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of the prefix filter that the links do not join yet."""
-    known = components(links)
-    # short rows: numbers stand for contents
-    rare = nodes.join(known, "content", "left").select(
-        F.xxhash64("content").alias("id"), F.xxhash64(F.coalesce("root", "content")).alias("root"), F.col("n_words").cast("int").alias("n"), F.explode("rare").alias("key")
-    )
-    mixed = rare.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("rows")).where("x <> y")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    # a large bucket is dealt in blocks: each pair of its blocks meets in one place
-    open_ = stored(rare.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.col("id"), F.col("blocks")).cast("int")), "buckets")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    one = open_.select("key", F.col("block").alias("i"), every.alias("j"), F.col("id").alias("a"), F.col("root").alias("a_root"), F.col("n").alias("a_n"))
-    two = open_.select("key", every.alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("root").alias("b_root"), F.col("n").alias("b_n"))
-    small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    met = one.join(two, ["key", "i", "j"]).where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & (small >= similarity * large - 1))
+def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (x, y) that the bounds let through."""
+    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select("x", "y")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(key, num, root) of buckets with several roots, with the bucket's commonest
+    root ``top`` and its ``size``."""
+    by_root = rows.groupBy("key", "root").agg(F.count("*").alias("c"))
+    tops = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("t"), F.sum("c").alias("size"), F.count("*").alias("roots"))
+    return rows.join(tops.where("roots > 1").select("key", F.col("t.root").alias("top"), "size"), "key")
+
+
+def _across(few: DataFrame, all_: DataFrame, on: list[str], near: Column | None = None) -> DataFrame:
+    """Pairs (x, y) of different roots: one of them is not of the commonest root, so
+    texts of that root are never tried with each other."""
+    extra = [c for c in few.columns if c not in ("num", "root", "top", "size", *on)]
+    x = few.where("root <> top").select(*on, F.col("num").alias("x"), F.col("root").alias("x_root"), *[F.col(c).alias(f"x_{c}") for c in extra])
+    y = all_.select(*on, F.col("num").alias("y"), F.col("root").alias("y_root"), (F.col("root") == F.col("top")).alias("common"), *[F.col(c).alias(f"y_{c}") for c in extra])
+    once = (F.col("x_root") != F.col("y_root")) & (F.col("common") | (F.col("x") < F.col("y")))
+    return x.join(y, on).where(once if near is None else once & near)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of the members (num, root) that the prefix filter leaves."""
+    named = stored(members.join(nodes.select("num", "first_id", "content", "n"), "num"), "members")
+    texts = stored(_texts(named, raw, "num"), "member-texts")
+    shared = raw.sparkSession.sparkContext.broadcast(gram_codes(texts.select("raw"), similarity))
+    rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, rare array<bigint>").select("num", F.explode("rare").alias("key"))
+    mixed = stored(_mixed(rare.join(named.select("num", "root", "n"), "num")), "grams")
+    # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    few = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = mixed.withColumn("block", F.pmod(F.col("num"), blocks).cast("int"))
+    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
+    met = _across(few, dealt, ["key", "block"], small >= large - F.floor((1 - similarity) * large + 1e-9))
     # shared_least of the shorter text
     need = 1 + F.least(F.lit(4), F.floor(F.floor((1 - similarity) * F.col("small") + 1e-9) / 4))
-    both = met.groupBy("a", "b").agg(F.count("*").alias("both"), F.first(small).alias("small")).where(F.col("both") >= need)
-    name = lambda k, c: nodes.select(F.xxhash64("content").alias(k), F.col("content").alias(c))
-    named = both.select("a", "b").join(name("a", "one"), "a").join(name("b", "two"), "b")
-    return named.select(F.least("one", "two").alias("hub"), F.greatest("one", "two").alias("content"))
-
-
-def _accepted(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that the alignment accepts.  Texts are shuffled once, and only those of
-    candidates go further: each from the row with its first id."""
-    pairs = stored(pairs, "candidates")
-    wanted = pairs.select("content").union(pairs.select(F.col("hub").alias("content"))).distinct()
-    first = wanted.join(nodes.select("content", "first_id"), "content").withColumnRenamed("content", "c")
-    chosen = stored(
-        texts.join(first, (F.col("content") == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id"))).select("content", "raw"),
-        "candidate-texts",
-    )
-    both = pairs.join(chosen.select("content", F.col("raw").alias("two")), "content").join(
-        chosen.select(F.col("content").alias("hub"), F.col("raw").alias("one")), "hub"
-    )
-    return stored(
-        both.select("hub", "content", "one", "two").mapInArrow(_verify(similarity), "hub binary, content binary").distinct(), "links"
-    )
+    pair = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), small.alias("small"))
+    both = pair.groupBy("x", "y").agg(F.count("*").alias("both"), F.first("small").alias("small"))
+    return both.where(F.col("both") >= need).select("x", "y")
+
+
+def _unlinked(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a bucket that the links do not join yet."""
+    roots = nodes.select("num", "content").join(labels.select("content", F.xxhash64("root.content").alias("root")), "content", "left")
+    roots = roots.select("num", F.coalesce("root", "num").alias("root"))
+    mixed = stored(_mixed(buckets.select("key", "num").join(roots, "num")), "mixed")
+    small = mixed.where(F.col("size") <= SMALL).join(nodes.select("num", "n", "bag"), "num")
+    pairs = _ordered(_across(small, small, ["key"], _near(similarity)))
+    members = stored(mixed.where(F.col("size") > SMALL).select("num", "root").distinct(), "crowd")
+    if not members.isEmpty():
+        pairs = pairs.union(_possible(_by_prefix(members, nodes, raw, similarity), nodes, similarity)).distinct()
+    pairs = stored(pairs, "pairs")
+    discard(mixed)
+    return pairs
+
+
+def _texts(named: DataFrame, raw: DataFrame, name: str) -> DataFrame:
+    """(name, raw) of named texts (content, first_id), each from a row with its first id."""
+    wanted = named.select(name, F.col("content").alias("c"), "first_id")
+    if named.count() <= NAMES:
+        wanted = F.broadcast(wanted)
+    found = raw.where("raw IS NOT NULL").join(wanted, (F.unhex(F.md5("raw")) == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id")))
+    return found.select(name, "raw").dropDuplicates([name])
+
+
+def _accepted(pairs: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the names of texts whose pairs the alignment accepts.
+    Only texts of candidates are moved."""
+    label = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "content")
+    name = lambda num, c: nodes.select(F.col("num").alias(num), label.alias(c))
+    named = stored(pairs.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b"), "candidates")
+    wanted = named.select("a").union(named.select("b")).distinct()
+    chosen = stored(_texts(stored(wanted.select("a", "a.content", "a.first_id"), "wanted"), raw, "a"), "candidate-texts")
+    both = named.join(chosen.select(F.col("a").alias("b"), F.col("raw").alias("two")), "b").join(chosen.select("a", F.col("raw").alias("one")), "a")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
+    links = stored(both.select("a", "b", "one", "two").mapInArrow(_verify(similarity), schema).distinct(), "links")
+    discard(chosen)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(content, root) of linked texts: one text stands for each component.
+    """(content, root) of linked texts: the smallest of a component's names, (no id,
+    id, content), stands for it.
 
     Each round points every text to its smallest neighbour and on to that one's,
     then contracts the graph: links between texts of the same root vanish, so a
     star is gone after one round and later rounds see few links.
     """
-    edges = stored(links.select(F.col("hub").alias("a"), F.col("content").alias("b")).distinct(), "edges")
+    edges = stored(links.distinct(), "edges")
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -420,45 +511,45 @@ def components(links: DataFrame) -> DataFrame:
         left = edges.join(step.withColumnRenamed("to", "x"), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         edges = stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return labels.withColumnRenamed("a", "content")
+            return labels.select("a.content", "root")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One row a document: the id, class_id, content (the text's digest, null for a
-    null text) and keeper (the digest that stands for the class)."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(id, content) of all rows, and (content, first_id, root) of all texts, with a
+    null root where a text is alone."""
     tune(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
-    raws = docs.select(F.col(text_col).cast("binary").alias("raw"))
-    shared = docs.sparkSession.sparkContext.broadcast(gram_codes(raws, similarity))
-    rows = stored(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(
-            _sketches(shared, similarity), f"id {id_type}, content binary, n_words bigint, keys array<bigint>, rare array<bigint>"
-        ),
-        "sketches",
+    raw = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
+    sketched = stored(
+        raw.mapInArrow(_sketches(similarity), f"id {id_type}, content binary, n bigint, bag array<tinyint>, keys array<bigint>"), "sketches"
     )
-    nodes = stored(
-        rows.where("content IS NOT NULL").groupBy("content").agg(
-            F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n_words", "keys", "rare"))
-        ),
+    rows = stored(sketched.select("id", "content"), "rows")
+    whole = stored(
+        sketched.where("content IS NOT NULL").groupBy("content").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in ("n", "bag", "keys"))),
         "texts",
     )
-    texts = (
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
-        .where("raw IS NOT NULL")
-        .select("id", "raw", F.unhex(F.md5("raw")).alias("content"))
-    )
-    buckets = nodes.select("content", F.explode("keys").alias("key"))
-    stars = stored(_stars(buckets), "stars")
-    tried = stars.where("hub <> content").select("hub", "content").distinct()
-    links = _accepted(_agreeing(tried, nodes, similarity), texts, nodes, similarity)
-    links = links.union(_accepted(_unlinked(nodes, links, similarity), texts, nodes, similarity))
-
-    roots = nodes.select("content", "first_id").join(components(links), "content", "left").withColumn("root", F.coalesce("root", "content"))
-    heads = roots.groupBy("root").agg(
-        F.min("first_id").alias("class_id"), F.min_by("content", F.struct(F.col("first_id").isNull(), "first_id", "content")).alias("keeper")
+    discard(sketched)
+    # short rows: numbers stand for contents until the texts are compared
+    nodes = stored(whole.select(F.xxhash64("content").alias("num"), "content", "first_id", "n", "bag"), "nodes")
+    keyed = whole.select(F.xxhash64("content").alias("num"), F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("num").alias("hub"), F.max("num").alias("last")).where("hub <> last")
+    buckets = stored(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
+    discard(whole)
+    tried = buckets.where("hub <> num").select(F.col("hub").alias("x"), F.col("num").alias("y")).distinct()
+    links = _accepted(_possible(tried, nodes, similarity), nodes, raw, similarity)
+    links = links.union(_accepted(_unlinked(buckets, nodes, components(links), raw, similarity), nodes, raw, similarity))
+    return rows, nodes.select("content", "first_id").join(components(links), "content", "left")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """One row a document: the id, class_id, content (the text's digest, null for a
+    null text) and keeper (the digest that stands for the class)."""
+    rows, texts = _classed(docs, id_col, text_col, similarity)
+    alone = F.col("root").isNull()
+    named = texts.select(
+        "content", F.when(alone, F.col("first_id")).otherwise(F.col("root.first_id")).alias("class_id"), F.when(alone, F.col("content")).otherwise(F.col("root.content")).alias("keeper")
     )
-    by_text = roots.join(heads, "root").select("content", "class_id", "keeper")
-    return rows.select("id", "content").join(by_text, "content", "left").select(
+    return rows.join(named, "content", "left").select(
         F.col("id").alias(id_col), F.when(F.col("content").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "content", "keeper"
     )
 
@@ -466,15 +557,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class: the one with the smallest id.  Rows with
     a null text stay."""
-    found = classes(docs, id_col, text_col, similarity)
-    kept = (
-        found.where((F.col("content") == F.col("keeper")) & F.col(id_col).eqNullSafe(F.col("class_id")))
-        .select(F.col(id_col).alias("__id"), F.col("content").alias("__content"))
-        .distinct()
-    )
-    marked = docs.withColumn("__key", content_of(F.col(text_col)))
-    stay = marked.where("__key IS NOT NULL").join(
-        kept, (F.col("__key") == F.col("__content")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi"
-    )
-    columns = docs.columns
-    return stay.dropDuplicates([id_col, "__key"]).select(*columns).unionByName(marked.where("__key IS NULL").select(*columns))
+    _, texts = _classed(docs, id_col, text_col, similarity)
+    kept = texts.where(F.col("root").isNull() | (F.col("root.content") == F.col("content"))).select(F.col("first_id").alias("id"), F.col("content").alias("key"))
+    # whole rows in a struct: their columns may have any names
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("own"), content_of(F.col(f"`{text_col}`")).alias("digest"))
+    stay = marked.where("digest IS NOT NULL").join(kept, (F.col("digest") == F.col("key")) & F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    whole = [F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return stay.dropDuplicates(["own", "digest"]).select(*whole).unionByName(marked.where("digest IS NULL").select(*whole))
