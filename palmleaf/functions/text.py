@@ -31,7 +31,8 @@ def sub(text: Column, source: str, to: str, multiline: bool = False) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^{WS}+|{WS}+\z", "")
+    # a run is tried from its start only
+    return F.regexp_replace(text, rf"^{WS}+|(?<!{WS}){WS}+\z", "")
 
 
 def fields(text: Column) -> Column:

@@ -21,7 +21,9 @@ PUNCTUATION = r"[।॥०-९0-9•·\s\-–—,.:;!?\"'“”‘’()\[\]{}/*\
 PHANTOM_BASE = "[क-हअ-औॠॡॐ0-9a-zA-Z]"
 PHANTOM_SIGN = "[ा-ौ्ंःँ॒॑]"
 MARKS = ("।", "॥", "|", "||", ".", "-", "_")
-_REPEATED = rf"({CONSONANT})\1{{2,}}|(्?{CONSONANT}){{3,}}\2"
+#: A third equal consonant, or an equal unit after three.  No open repetition: the
+#: JVM matches repeated groups recursively, and a long run would end it.
+_REPEATED = rf"({CONSONANT})\1\1|(?:्?{CONSONANT}){{2}}(्?{CONSONANT})\2"
 
 
 def _let(value: Column, body) -> Column:
