@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from palmleaf.llm import decontaminate, language, neardup, packing, pii
 from palmleaf.llm.common import stored, table
+from palmleaf.llm.queries import pii_key
 
 #: A document goes if no language has this share of it.
 LEAST_SHARE = 0.5
@@ -47,7 +48,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal numbers, dates and addresses become pseudonyms in their formats."""
-    done = pii.pseudonymise(_rows(docs))
+    done = pii.pseudonymise(_rows(docs), pii_key(spark))
     columns = _columns(docs)
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
