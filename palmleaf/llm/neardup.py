@@ -451,7 +451,7 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity:
 
 def _unlinked(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a bucket that the links do not join yet."""
-    roots = nodes.select("num", "content").join(labels.select("content", F.xxhash64("root.content").alias("root")), "content", "left")
+    roots = nodes.select("num", "content").join(labels.select("content.content", F.xxhash64("root.content").alias("root")), "content", "left")
     roots = roots.select("num", F.coalesce("root", "num").alias("root"))
     mixed = stored(_mixed(buckets.select("key", "num").join(roots, "num")), "mixed")
     small = mixed.where(F.col("size") <= SMALL).join(nodes.select("num", "n", "bag"), "num")
@@ -489,14 +489,14 @@ def _accepted(pairs: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: fl
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(content, root) of linked texts: the smallest of a component's names, (no id,
-    id, content), stands for it.
+    """(content, root) of the names that the links' first two columns join: the
+    smallest name of a component stands for it.
 
     Each round points every text to its smallest neighbour and on to that one's,
     then contracts the graph: links between texts of the same root vanish, so a
     star is gone after one round and later rounds see few links.
     """
-    edges = stored(links.distinct(), "edges")
+    edges = stored(links.toDF("a", "b").distinct(), "edges")
     labels = None
     while True:
         both = edges.union(edges.select("b", "a"))
@@ -511,7 +511,7 @@ def components(links: DataFrame) -> DataFrame:
         left = edges.join(step.withColumnRenamed("to", "x"), "a").join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
         edges = stored(left.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if edges.isEmpty():
-            return labels.select("a.content", "root")
+            return labels.withColumnRenamed("a", "content")
 
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -538,7 +538,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     tried = buckets.where("hub <> num").select(F.col("hub").alias("x"), F.col("num").alias("y")).distinct()
     links = _accepted(_possible(tried, nodes, similarity), nodes, raw, similarity)
     links = links.union(_accepted(_unlinked(buckets, nodes, components(links), raw, similarity), nodes, raw, similarity))
-    return rows, nodes.select("content", "first_id").join(components(links), "content", "left")
+    return rows, nodes.select("content", "first_id").join(components(links).select("content.content", "root"), "content", "left")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:

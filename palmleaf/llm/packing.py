@@ -8,11 +8,19 @@ tree as items (a bin id and a length each, never the pieces or their tokens):
 full ones leave, and so on to the root.  A bin that moves up is never opened, so
 a piece's place is its place in its first bin plus that bin's place in the last.
 
+The leftovers of a node are bounded.  After best fit two bins of one node never fit
+together, so at most one of them is half full or less, and bins that are more than half
+full only ever take in such ones.  From elsewhere less than ``fan_in`` of these come to a
+node's bins at each level, and a bin that fits any bin fits the one with the most room;
+so beside its bin of half or less, only a node's ``LEVELS * fan_in`` bins with the most
+room can be of use above.  The others are final: to carry them would save no sequence.
+
 Recovery: level 0 is written to the shared folder before anything reads it twice
 and all ids come from it, so a lost executor repeats one task and changes nothing.
 
 Defined results: kept columns named like an operator's own are left out; a null text is an empty one (only the end token); repeated rows
-are packed once each; an empty table gives no row.
+are packed once each; an empty table gives no row; strings of the tokenizer's added tokens
+in a text are those tokens, as the tokenizer has it.
 """
 
 from __future__ import annotations
@@ -36,6 +44,8 @@ END_ID = 1
 #: A bin with no more free places than this is final.
 SLACK = 8
 FAN_IN = 8
+#: Levels of the tree at most: enough for a thousand million tasks at level 0.
+LEVELS = 10
 #: Entries of each of a worker's two caches of ids.
 CACHE_WORDS = 300_000
 
@@ -66,13 +76,21 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
         splits = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         self.by_word = spec["normalizer"] == _NORMALIZER and splits[0].get("pattern") == {"Regex": _SPLIT} and spec["model"]["type"] == "BPE"
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.runs: dict[str, bytes] = {}
+        added = [t["content"].lower() for t in spec["added_tokens"] if t["content"]]
+        #: Texts with one of these are not the sum of their words.
+        self.added = re.compile(b"|".join(re.escape(a.encode()) for a in added)) if added else None
+
+    def of(self, raw: bytes) -> bytes:
+        """Ids of a text."""
+        if not self.by_word or (self.added and self.added.search(raw.lower())):
+            return self.whole(raw.decode("utf-8", "replace"))
+        return b"".join(map(self.__getitem__, raw.split()))
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -115,11 +133,9 @@ def token_bytes(texts: list[bytes | None], path: str) -> list[bytes]:
         _caches.clear()
         _caches[path] = WordIds(path)
     ids = _caches[path]
-    if not ids.by_word:
-        return [ids.whole(t.decode("utf-8", "replace")) if t else b"" for t in texts]
     out = []
     for t in texts:
-        out.append(b"".join(map(ids.__getitem__, t.split())) if t else b"")
+        out.append(ids.of(t) if t else b"")
         ids.bound()
     return out
 
@@ -146,7 +162,15 @@ def best_fit(sizes: list[int], room: int = SEQUENCE) -> list[list[int]]:
     return bins
 
 
-def _pieces(path: str, at_text: int, keep: list[str], room: int, end_id: int, slack: int):
+def rising(sizes: list[int], room: int, slack: int, fan_in: int) -> set[int]:
+    """Which of a node's bins move up: those of half or less, and the others with the
+    most room, unless they are nearly full."""
+    open_ = sorted((size, k) for k, size in enumerate(sizes) if size < room - slack)
+    small = [k for size, k in open_ if 2 * size <= room]
+    return {*small, *(k for _, k in open_[len(small) : len(small) + LEVELS * fan_in])}
+
+
+def _pieces(path: str, at_text: int, keep: list[str], room: int, end_id: int, slack: int, fan_in: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,13 +195,15 @@ def _pieces(path: str, at_text: int, keep: list[str], room: int, end_id: int, sl
         lengths = columns[2]
         bins = best_fit(lengths, room)
         task = TaskContext.get().partitionId()
-        bin_id, offset, total = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+        bin_id, offset, total, done = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.ones(rows, bool)
+        up = rising([sum(lengths[i] for i in members) for members in bins], room, slack, fan_in)
         for number, members in enumerate(bins):
             at = 0
             for i in members:
                 bin_id[i], offset[i] = (task << 33) | number, at
                 at += lengths[i]
             total[members] = at
+            done[members] = number not in up
         places = pa.Table.from_batches(keeps)
         out = pa.table(
             [
@@ -187,7 +213,7 @@ def _pieces(path: str, at_text: int, keep: list[str], room: int, end_id: int, sl
                 pa.array(bin_id),
                 pa.array(offset),
                 pa.array(total),
-                pa.array(total >= room - slack),
+                pa.array(done),
                 pa.array(np.full(rows, task, np.int64)),
             ],
             names=[*keep, "piece", "start", "length", "ids_crc32", "bin_id", "bin_offset", "bin_size", "final", "task"],
@@ -197,17 +223,20 @@ def _pieces(path: str, at_text: int, keep: list[str], room: int, end_id: int, sl
     return run
 
 
-def _merge(room: int, slack: int, last: bool):
+def _merge(room: int, slack: int, last: bool, fan_in: int):
     """One task packs the items of its node: bins that came from below."""
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.sort_by([("size", "descending"), ("item", "ascending")])
         items, sizes = table.column("item").to_pylist(), table.column("size").to_pylist()
         rows = []
-        for members in best_fit(sizes, room):
-            total, at = sum(sizes[i] for i in members), 0
+        bins = best_fit(sizes, room)
+        totals = [sum(sizes[i] for i in members) for members in bins]
+        up = set() if last else rising(totals, room, slack, fan_in)
+        for number, members in enumerate(bins):
+            at = 0
             for i in members:
-                rows.append((items[i], items[members[0]], at, total, last or total >= room - slack, key[0].as_py()))
+                rows.append((items[i], items[members[0]], at, totals[number], number not in up, key[0].as_py()))
                 at += sizes[i]
         return pa.table(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.bool_(), pa.int64()), strict=True)],
@@ -239,7 +268,7 @@ def pack(
         ]
     )
     rows, at = with_text(docs, keep, text_col)
-    pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, at, keep, room, end_id, slack), schema), "pieces")
+    pieces = stored(rows.mapInArrow(_pieces(tokenizer_path, at, keep, room, end_id, slack, fan_in), schema), "pieces")
 
     # underfull bins: one row each, from the row of their first piece
     below = pieces.where(~F.col("final") & (F.col("bin_offset") == 0)).select(
@@ -253,7 +282,7 @@ def pack(
         level = below.withColumn("node", F.floor(F.col("node") / fan_in).cast("bigint"))
         level = stored(
             level.groupBy("node").applyInArrow(
-                _merge(room, slack, nodes == 1),
+                _merge(room, slack, nodes == 1, fan_in),
                 "item bigint, into bigint, at bigint, total bigint, final boolean, node bigint",
             ),
             "bins",

@@ -17,7 +17,9 @@ Everything is DataFrame and SQL functions; a text is rewritten where it is read.
 
 Defined results: a null text stays null; a text without a valid value is
 unchanged; values that fail validation are left alone; a one-character local part
-may be its own pseudonym, as any permutation of a tiny domain.
+may be its own pseudonym, as any permutation of a tiny domain, and is not counted
+then; an empty table gives no row; repeated rows are rewritten alike; an input column
+``pii`` gives way to the operator's, all others pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -25,13 +27,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.spans import FENCE, parts, unescape
+from palmleaf.llm.spans import FENCE, let, parts, unescape
 
 ROUNDS = 8
-DEMO_KEY = "palmleaf demonstration key"
 
 # Patterns of the formats.
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})"
+#: The domain goes up to its last label that may be a top-level one.  Loops of groups
+#: are possessive: the JVM matches others recursively, and a long text would end it.
+EMAIL = (
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++"
+    r"(?:(?:\.(?![A-Za-z]{2,24}(?![A-Za-z0-9-]))[A-Za-z0-9-]++)*+\.[A-Za-z]{2,24}(?![A-Za-z0-9-]))++"
+)
 CARD = (
     r"(?<![\w])(?<!\d[-.])(?:[2-6]\d{12,18}|[2-6]\d{3}(?<s1>[ -])\d{4}\k<s1>\d{4}\k<s1>\d{1,7}|3[47]\d{2}(?<s2>[ -])\d{6}\k<s2>\d{5})"
     r"(?!\w|-\d)"
@@ -73,11 +79,6 @@ def feistel(left: Column, right: Column, a: Column, b: Column, key: str, tweak:
     return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), start, step)
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of one evaluated value, so that nothing is computed twice."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _pow10(n: Column) -> Column:
     return F.get(F.array(*[F.lit(10**k).cast("bigint") for k in range(11)]), n)
 
@@ -91,9 +92,9 @@ def permute_digits(digits: Column, key: str, tweak: str) -> Column:
         done = feistel(
             F.substring(d, F.lit(1), u).cast("bigint"), F.substring(d, u + 1, n).cast("bigint"), _pow10(u), _pow10(n - u), key, tweak
         )
-        return _let(done, lambda x: F.concat(F.lpad(x["l"].cast("string"), u, "0"), F.lpad(x["r"].cast("string"), n - u, "0")))
+        return let(done, lambda x: F.concat(F.lpad(x["l"].cast("string"), u, "0"), F.lpad(x["r"].cast("string"), n - u, "0")))
 
-    return _let(digits, halves)
+    return let(digits, halves)
 
 
 def _digits(value: Column) -> Column:
@@ -117,7 +118,7 @@ def _luhn_sum(digits: Column, doubled: int) -> Column:
     return F.aggregate(
         F.transform(
             F.split(F.reverse(digits), ""),
-            lambda c, k: _let(c.cast("int") * F.when(k % 2 == doubled, 2).otherwise(1), lambda x: F.when(x > 9, x - 9).otherwise(x)),
+            lambda c, k: let(c.cast("int") * F.when(k % 2 == doubled, 2).otherwise(1), lambda x: F.when(x > 9, x - 9).otherwise(x)),
         ),
         F.lit(0),
         lambda a, x: a + x,
@@ -128,10 +129,10 @@ def _card(value: Column, key: str) -> Column:
     def valid(d: Column) -> Column:
         n = F.length(d)
         body = F.concat(F.substring(d, 1, 2), permute_digits(F.substring(d, F.lit(3), n - 3), key, "card"))
-        full = _let(body, lambda x: F.concat(x, F.pmod(-_luhn_sum(x, 0), F.lit(10)).cast("string")))
+        full = let(body, lambda x: F.concat(x, F.pmod(-_luhn_sum(x, 0), F.lit(10)).cast("string")))
         return F.when(_luhn_sum(d, 1) % 10 == 0, refill(value, full)).otherwise(value)
 
-    return _let(_digits(value), valid)
+    return let(_digits(value), valid)
 
 
 def _phone(value: Column, key: str) -> Column:
@@ -142,9 +143,9 @@ def _phone(value: Column, key: str) -> Column:
         def region(t: Column) -> Column:
             # (area - 200) * 100 + first two of (exchange - 200); rest of exchange and line
             index = ((F.substring(t, 1, 3).cast("bigint") - 200) * 800 + F.substring(t, 4, 3).cast("bigint") - 200) * 10000 + F.substring(t, 7, 4).cast("bigint")
-            done = _let(index, lambda x: feistel(F.floor(x / 80000), x % 80000, F.lit(80000), F.lit(80000), key, "nanp"))
-            return _let(
-                _let(done, lambda x: x["l"] * 80000 + x["r"]),
+            done = let(index, lambda x: feistel(F.floor(x / 80000), x % 80000, F.lit(80000), F.lit(80000), key, "nanp"))
+            return let(
+                let(done, lambda x: x["l"] * 80000 + x["r"]),
                 lambda x: F.concat(
                     (F.floor(x / 8000000) + 200).cast("string"),
                     (F.floor(x / 10000) % 800 + 200).cast("string"),
@@ -152,7 +153,7 @@ def _phone(value: Column, key: str) -> Column:
                 ),
             )
 
-        american = F.concat(F.substring(d, F.lit(1), F.length(d) - 10), _let(last, region))
+        american = F.concat(F.substring(d, F.lit(1), F.length(d) - 10), let(last, region))
         other = F.concat(F.substring(d, 1, 1), permute_digits(F.substring(d, F.lit(2), F.length(d)), key, "phone"))
         return (
             F.when(nanp, refill(value, american))
@@ -160,16 +161,16 @@ def _phone(value: Column, key: str) -> Column:
             .otherwise(value)
         )
 
-    return _let(_digits(value), of)
+    return let(_digits(value), of)
 
 
 def _ip(value: Column, key: str) -> Column:
     octets = F.transform(F.split(value, r"\."), lambda x: x.cast("bigint"))
-    done = _let(
+    done = let(
         octets,
         lambda o: feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), key, "ip"),
     )
-    return _let(
+    return let(
         done,
         lambda x: F.concat_ws(
             ".", *[y.cast("string") for y in (F.floor(x["l"] / 256), x["l"] % 256, F.floor(x["r"] / 256), x["r"] % 256)]
@@ -188,7 +189,7 @@ def _ssn(value: Column, key: str) -> Column:
         key,
         "ssn",
     )
-    return _let(
+    return let(
         done,
         lambda x: F.concat_ws(
             "-",
@@ -215,15 +216,15 @@ def _date(value: Column, key: str) -> Column:
 
     def shown(x: Column) -> Column:
         day = F.date_add(F.lit("1900-01-01").cast("date"), (x["l"] * _DAYS[1] + x["r"]).cast("int"))
-        return _let(
+        return let(
             day,
             lambda t: F.when(iso, F.date_format(t, "yyyy-MM-dd"))
             .when(wide, F.concat(F.date_format(t, "dd"), sep, F.date_format(t, "MM"), sep, F.date_format(t, "yyyy")))
             .otherwise(F.concat(F.dayofmonth(t).cast("string"), sep, F.month(t).cast("string"), sep, F.year(t).cast("string"))),
         )
 
-    done = _let(days, lambda n: feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date"))
-    return F.when(days.isNotNull() & (days >= 0) & (days < _DAYS[0] * _DAYS[1]), _let(done, shown)).otherwise(value)
+    done = let(days, lambda n: feistel(F.floor(n / _DAYS[1]), n % _DAYS[1], F.lit(_DAYS[0]), F.lit(_DAYS[1]), key, "date"))
+    return F.when(days.isNotNull() & (days >= 0) & (days < _DAYS[0] * _DAYS[1]), let(done, shown)).otherwise(value)
 
 
 # The alphabets that an address keeps to.
@@ -251,15 +252,14 @@ def _email(value: Column, key: str) -> Column:
 
     def step(acc: Column, k: Column) -> Column:
         even = k % 2 == 0
-        # the untouched half keys the other one, with the lengths and the domain
-        digest = _keyed(key, "email", k, F.when(even, acc["r"]).otherwise(acc["l"]))
-        return F.struct(
-            F.when(even, _shift(acc["l"], digest)).otherwise(acc["l"]).alias("l"),
-            F.when(even, acc["r"]).otherwise(_shift(acc["r"], digest)).alias("r"),
+        # the untouched half keys the other one
+        moved = let(
+            _keyed(key, "email", k, F.when(even, acc["r"]).otherwise(acc["l"])), lambda digest: _shift(F.when(even, acc["l"]).otherwise(acc["r"]), digest)
         )
+        return F.struct(F.when(even, moved).otherwise(acc["l"]).alias("l"), F.when(even, acc["r"]).otherwise(moved).alias("r"))
 
     done = F.aggregate(F.sequence(F.lit(0), F.lit(5)), start, step)
-    return _let(done, lambda x: F.concat(x["l"], x["r"], F.substring(value, at, F.length(value))))
+    return let(done, lambda x: F.concat(x["l"], x["r"], F.substring(value, at, F.length(value))))
 
 
 def kind_of(value: Column) -> Column:
@@ -277,35 +277,39 @@ def pseudonym(value: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, key: str = DEMO_KEY, text_col: str = "text") -> DataFrame:
-    """``docs`` with rewritten texts and ``pii``: (kind, count) of values replaced."""
-    text = F.col(text_col)
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """``docs`` with rewritten texts and ``pii``: (kind, count) of values replaced.
+    ``key`` is the permutations' secret."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    # whole rows in a struct: their columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     # a value has a digit or an @; other texts are not searched
-    pieces = F.when(text.rlike("[0-9@]"), parts(text, PATTERN))
-    marked = docs.withColumn("__pieces", F.when(F.size(pieces) > 1, pieces))
+    pieces = F.when(F.col("text").rlike("[0-9@]"), parts(F.col("text"), PATTERN))
+    marked = rows.withColumn("pieces", F.when(F.size(pieces) > 1, pieces))
     sealed = F.transform(
-        "__pieces",
-        lambda p, k: _let(
+        "pieces",
+        lambda p, k: let(
             F.when(k % 2 == 1, kind_of(p)),
             lambda kind: F.struct(
                 kind.alias("kind"), p.alias("was"), F.when(kind.isNull(), p).otherwise(pseudonym(p, kind, key)).alias("now")
             ),
         ),
     )
-    done = marked.withColumn("__sealed", sealed)
-    kinds = F.transform(F.filter("__sealed", lambda x: x["kind"].isNotNull() & (x["was"] != x["now"])), lambda x: x["kind"])
+    done = marked.withColumn("sealed", sealed)
+    kinds = F.transform(F.filter("sealed", lambda x: x["kind"].isNotNull() & (x["was"] != x["now"])), lambda x: x["kind"])
     counted = F.coalesce(
-        F.transform(F.array_sort(F.array_distinct(kinds)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(kinds, lambda y: y == k)).alias("n"))),
+        let(
+            kinds,
+            lambda found: F.transform(
+                F.array_sort(F.array_distinct(found)), lambda k: F.struct(k.alias("kind"), F.size(F.filter(found, lambda y: y == k)).alias("n"))
+            ),
+        ),
         F.array().cast("array<struct<kind:string,n:int>>"),
     )
-    return done.withColumns(
-        {
-            text_col: F.when(
-                F.col("__sealed").isNotNull(), unescape(F.array_join(F.transform("__sealed", lambda x: x["now"]), ""))
-            ).otherwise(text),
-            "pii": counted,
-        }
-    ).drop("__pieces", "__sealed")
+    made = F.when(F.col("sealed").isNotNull(), unescape(F.array_join(F.transform("sealed", lambda x: x["now"]), ""))).otherwise(F.col("text"))
+    columns = [made.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "pii"]
+    return done.select(*columns, counted.alias("pii"))
 
 
-__all__ = ["DEMO_KEY", "FENCE", "PATTERN", "feistel", "pseudonymise"]
+__all__ = ["FENCE", "PATTERN", "feistel", "pseudonymise"]

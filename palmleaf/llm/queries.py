@@ -32,8 +32,14 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms, from the session; the synthetic tables hold no
+    real person and have a published one."""
+    return spark.conf.get("spark.palmleaf.pii.key", "synthetic tables")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    docs = pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
     n_of = lambda kind: F.coalesce(
         F.get(F.transform(F.filter("pii", lambda x: x["kind"] == kind), lambda x: x["n"]), F.lit(0)), F.lit(0)
     ).alias(f"n_{kind}")

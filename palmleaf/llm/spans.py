@@ -32,6 +32,18 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of one evaluated value: what a lambda names is not computed again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _befores(lens: Column) -> Column:
+    """The sum of all lengths before each block."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lens) - 1) / BLOCK).cast("int"))
+    sums = F.transform(numbers, lambda b: _sum(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))))
+    return let(sums, lambda s: F.transform(s, lambda x, b: _sum(F.slice(s, F.lit(1), b))))
+
+
 def located(pieces: Column, kind: str) -> Column:
     """Array of (kind, start, end, value) of the matches among ``pieces``.
 
@@ -40,20 +52,16 @@ def located(pieces: Column, kind: str) -> Column:
 
     def of(bound: Column) -> Column:
         text = F.transform(bound, unescape)
-        size = F.size(bound)
-        lens = F.transform(text, lambda p: F.length(p).cast("bigint"))
-        sums = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / BLOCK).cast("int")), lambda b: _sum(F.slice(lens, b * BLOCK + 1, F.lit(BLOCK))))
+        return let(text, lambda t: let(F.transform(t, lambda p: F.length(p).cast("bigint")), lambda lens: let(_befores(lens), lambda before: found(t, lens, before))))
 
+    def found(text: Column, lens: Column, before: Column) -> Column:
         def one(k: Column) -> Column:
             at = 2 * k - 1  # 0-based place of the match
             b = F.floor(at / BLOCK).cast("int")
-            start = _sum(F.slice(sums, F.lit(1), b)) + _sum(F.slice(lens, b * BLOCK + 1, at - b * BLOCK))
-            value = F.get(text, at)
-            return F.struct(
-                F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value")
-            )
+            start = F.get(before, b) + _sum(F.slice(lens, b * BLOCK + 1, at - b * BLOCK))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.get(lens, at)).alias("end"), F.get(text, at).alias("value"))
 
-        return F.transform(F.sequence(F.lit(1), F.floor(size / 2).cast("int")), one)
+        return F.transform(F.sequence(F.lit(1), F.floor(F.size(text) / 2).cast("int")), one)
 
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint,value:string>>")
     return F.when(F.size(pieces) > 1, of(pieces)).otherwise(empty)

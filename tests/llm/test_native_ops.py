@@ -66,7 +66,7 @@ def test_pii_formats_stay_valid_and_linked(spark):
     card = "4539 1488 0343 6467"
     text = f"mail ann.lee7@mail.example.com, card {card} or {card.replace(' ', '')}, call +1 (415) 555-2671 or 212-555-0188, ip 10.200.3.4, ssn 123-45-6789, born 1999-02-28 or 3/4/1990 \x01 end"
     rows = spark.createDataFrame([(1, text), (2, f"again {card}"), (3, None), (4, ""), (5, "plain 12 words"), (5, "plain 12 words"), (6, "4111111111111112 999.1.1.1 000-12-3456 2020-02-30")], "doc_id long, text string").withColumn("pii", F.lit("x"))
-    got = {r.doc_id: r for r in pii.pseudonymise(rows).collect()}
+    got = {r.doc_id: r for r in pii.pseudonymise(rows, "key").collect()}
     new = got[1].text
     assert len(new.split()) == len(text.split()) and "\x01 end" in new
     for value in (card, "ann.lee7", "555-2671", "212-555-0188", "10.200.3.4", "123-45-6789", "1999-02-28", "3/4/1990"):
@@ -91,7 +91,7 @@ def test_feistel_is_a_permutation(spark):
 
 def test_pii_leaves_clean_documents_alone(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("was", F.col("text"))
-    rows = pii.pseudonymise(docs).collect()
+    rows = pii.pseudonymise(docs, "key").collect()
     for r in rows:
         if not re.search(r"@|\d{13}|\+\d|\d+\.\d+\.\d+", r.was):
             assert r.text == r.was
@@ -136,6 +136,58 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert not any("random:45" in s for s in spans)
 
 
+def test_discoveries_are_controlled_by_length(spark):
+    """The bound falls as tokens of words come to look random, and goes at last."""
+    tokens = {k: 5 for k in range(20)}
+    few, some, many = {100: 1000}, {100: 1000, 15: 40, 10: 30}, {100: 1000, **{k: 40 for k in range(40)}}
+    bounds = [secrets.accepted_up_to(tokens, nulls) for nulls in (few, some, many, {})]
+    assert bounds[0] == secrets.BOUND > bounds[1] > 0 and bounds[2:] == [-1.0, -1.0]
+    # by the procedure itself: the largest p-value under its rank times the rate
+    p = sorted((1 + sum(n for k, n in some.items() if k <= cell)) / (1 + sum(some.values())) for cell, n in tokens.items() for _ in range(n))
+    ranks = [k for k, x in enumerate(p, 1) if x <= secrets.FDR * k / len(p)]
+    assert sum(n for cell, n in tokens.items() if (cell + 1) * secrets.STEP <= bounds[1]) == max(ranks)
+
+
+def _deviate(token):
+    """The battery in plain Python."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    alphabet = next(a for name, test, a in secrets.ENCODINGS if not test or re.search(test, token))
+    v, n, k = [alphabet.index(c) for c in body], len(body), len(alphabet)
+    uniform = (k / n * sum(v.count(c) ** 2 for c in set(v)) - n - (k - 1)) / (2 * (k - 1) * (n - 1) / n) ** 0.5
+    high = [c >= k / 2 for c in v]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * ones * (n - ones) / n + 1
+    spread, mu = (mean - 1) * (mean - 2) / (n - 1), sum(v) / n
+    z = (runs - mean) / spread**0.5 if spread > 1e-9 else 10.0
+    power = sum((c - mu) ** 2 for c in v)
+    serial = (sum((a - mu) * (b - mu) for a, b in zip(v, v[1:])) / power + 1 / n) * n**0.5 if power > 1e-9 else 10.0
+    return uniform**2 + z**2 + serial**2
+
+
+def test_battery_matches_plain_python(spark):
+    import random
+
+    rng = random.Random(5)
+    alphabets = [a for _, _, a in secrets.ENCODINGS] + ["ab", "abcdefghijklmnopqrstuvwxyz"]
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a in alphabets for n in (20, 33, 100)] + ["a" * 30, "ab" * 40, "Zm9v" * 9 + "=="]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.deviate(F.col("t")).alias("d")).collect()
+    for r in rows:
+        assert r.d == pytest.approx(_deviate(r.t), rel=1e-6, abs=1e-6), r.t
+
+
+def test_very_long_texts_end(spark):
+    """No pattern and no token may exhaust the stack or the time of a task."""
+    import random
+
+    rng = random.Random(6)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = ["a@" + "x." * 200_000, "a@" + "x." * 200_000 + "com", "1" * 400_000, "1 " * 200_000, "x " + "".join(rng.choice(alphabet) for _ in range(100_000))]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    done = {r.doc_id: r for r in pii.pseudonymise(docs, "key").collect()}
+    assert all(len(done[k].text) == len(t) for k, t in enumerate(long)) and done[0].pii == [] and done[1].pii[0].n == 1
+    assert all(r.n_assign == 0 for r in secrets.report(docs, ["doc_id"]).collect())
+
+
 def test_chat_rotation(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, None, "ann", "late"), (2, 0, "system", "only"), (None, 0, None, "x"), (3, 0, "a", "t"), (3, 0, "a", "t")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit("x"))

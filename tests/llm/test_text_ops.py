@@ -138,7 +138,6 @@ def test_quality_edges_and_ablations(spark):
 def _packed(rows, texts):
     """Checks pieces, tokens and places; returns the number of sequences."""
     tok = Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     pieces = {}
     for r in rows:
         pieces.setdefault((r.doc_id, r.piece), []).append(r)
@@ -178,7 +177,6 @@ def test_packing_tree_and_edges(spark, texts):
 def test_word_ids_equal_whole_texts(texts):
     odd = ["it's DON'T “q” — ’tis naïve ΑΣ. İ x² Ⅷ 12ab a b d…! «a» a_b 日本語!! धर्म ß ẞ × ÷ <|endoftext|>", "\x1c \x85 \xa0y"]
     tok = Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     for text in odd:
         got = np.frombuffer(packing.token_bytes([text.encode()], VOCAB)[0], "<u4").tolist()
         assert got == tok.encode(text, add_special_tokens=False).ids
