@@ -20,12 +20,12 @@ that still holds several of them, all texts of different components meet: no lin
 left to the luck of the hub.  Buckets of more than ``SMALL`` texts would square there;
 their texts meet by an exact prefix filter instead, in which the sketches play no part.
 
-Prefix filter.  An edit spoils ``q`` of the ``n`` grams of ``q`` words of the longer
-text at most, so of these, labelled with their occurrence numbers, two near texts share
-``n - q * e`` with ``e`` the allowed edits; whatever the order of all grams, they then
-share ``s`` of their first ``q * e + s`` in it.  The order is from rare to common (by a
-table of hashed counts, which affects the number of candidates only), so no pair of
-these texts is lost, short of a collision of hashes.
+Prefix filter.  An edit spoils one word at most, so of the ``n`` words of the longer
+text, labelled with their occurrence numbers, two near texts share ``n - e`` with ``e``
+the allowed edits; whatever the order of all words, they then share one of each text's
+first ``e + 1`` in it.  The order is from rare to common (by a table of hashed counts,
+which affects the number of candidates only), so no pair of these texts is lost, and a
+passage that many of them hold is a key only of texts that are hardly anything else.
 
 Before any text is moved, a pair must pass a lower bound of its edits: ``BINS`` word
 counts by hash, of which an edit moves two at most.  What passes is decided by the
@@ -66,9 +66,7 @@ BINS = 64
 SMALL = 256
 #: Hash values held at once while a text is sketched.
 CELLS = 1 << 21
-#: Words of a text from which its pairs of words are keys of the prefix filter.
-PAIRS_FROM = 16
-#: Bits of a gram's place in the table of counts: a byte each, sent to all tasks.
+#: Bits of a word's place in the table of counts: a byte each, sent to all tasks.
 COUNT_BITS = 24
 #: Places of the table that are summed together.
 CHUNK = 1 << 16
@@ -202,40 +200,13 @@ def _codes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(large, 255)).astype(np.uint8)
 
 
-def shared_least(n: int, similarity: float) -> int:
-    """Grams that two near texts must share in their prefixes, for the one of n words."""
-    return 1 + min(4, allowed(n, similarity) // 4)
-
-
-def grams(words: np.ndarray, similarity: float) -> list[tuple[int, np.ndarray]]:
-    """(q, labelled grams) that are a text's keys: a text that may be near both
-    shorter and longer ones than ``PAIRS_FROM`` has both kinds."""
-    n, out = len(words), []
-    if 0 < n and n - allowed(n, similarity) < PAIRS_FROM:
-        out.append((1, labelled(words)))
-    if n >= PAIRS_FROM:
-        out.append((2, labelled(_mix(words[:-1] * _PLACES[0] + words[1:] * _PLACES[1]))))
-    return out
-
-
-def prefix_length(n: int, q: int, similarity: float) -> int:
-    """Grams of a text of n words among which those shared with any near one lie."""
-    longer = np.arange(n, int(n / similarity) + 3)
-    shared = longer - q + 1 - q * np.floor((1 - similarity) * longer + 1e-9).astype(np.int64)
-    least = shared_least(n, similarity)
-    # too little in common to bound: every gram
-    return n - q + 1 if shared.min() < least else n - q + 1 - int(shared.min()) + least
-
-
-def rare_grams(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.ndarray:
-    """The text's prefixes of labelled grams from rare to common, without those that
-    no other text has."""
-    out = [np.zeros(0, np.uint64)]
-    for q, names in grams(words, similarity):
-        code = codes[_places(names)].astype(np.uint64)
-        order = np.sort((code << _U(56)) | (names & _U((1 << 56) - 1)))
-        out.append(order[: prefix_length(len(words), q, similarity)])
-    first = np.concatenate(out)
+def rare_words(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.ndarray:
+    """The text's prefix of labelled words from rare to common, without those that no
+    other text has."""
+    names = labelled(words)
+    code = codes[_places(names)].astype(np.uint64)
+    order = np.sort((code << _U(56)) | (names & _U((1 << 56) - 1)))
+    first = order[: allowed(len(words), similarity) + 1]
     return first[first >> _U(56) > 1].view(np.int64)
 
 
@@ -301,23 +272,18 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return within(a, b, most)
 
 
-def _tally(similarity: float):
-    """Texts by place of their grams: sparse sums of a task, by chunk."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << COUNT_BITS, np.uint32)
-        for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                for _, names in grams(word_hashes(raw), similarity):
-                    np.add.at(counts, _places(names), 1)
-        for chunk in range(0, len(counts), CHUNK):
-            part = counts[chunk : chunk + CHUNK]
-            at = np.flatnonzero(part)
-            if len(at):
-                arrays = [[chunk // CHUNK], [at.astype(np.uint16).tobytes()], [part[at].tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "n"])
-
-    return run
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts by place of their labelled words: sparse sums of a task, by chunk."""
+    counts = np.zeros(1 << COUNT_BITS, np.uint32)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            np.add.at(counts, _places(labelled(word_hashes(raw))), 1)
+    for chunk in range(0, len(counts), CHUNK):
+        part = counts[chunk : chunk + CHUNK]
+        at = np.flatnonzero(part)
+        if len(at):
+            arrays = [[chunk // CHUNK], [at.astype(np.uint16).tobytes()], [part[at].tobytes()]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(arrays, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "at", "n"])
 
 
 def _sum_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,10 +296,10 @@ def _sum_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_codes(total).tobytes()], pa.binary())], names=["chunk", "codes"])
 
 
-def gram_codes(raws: DataFrame, similarity: float) -> np.ndarray:
-    """How many texts have a labelled gram, as a byte by place; only this table of
+def word_codes(raws: DataFrame) -> np.ndarray:
+    """How many texts have a labelled word, as a byte by place; only this table of
     fixed size reaches the driver."""
-    tallies = raws.mapInArrow(_tally(similarity), "chunk int, at binary, n binary")
+    tallies = raws.mapInArrow(_tally, "chunk int, at binary, n binary")
     sums = tallies.repartition(16, "chunk").mapInArrow(_sum_tallies, "chunk int, codes binary")
     out = np.zeros(1 << COUNT_BITS, np.uint8)
     for r in sums.collect():
@@ -364,7 +330,7 @@ def _rare(shared, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for batch in batches:
-            rare = [rare_grams(word_hashes(t), codes, similarity) for t in batch.column(1).to_pylist()]
+            rare = [rare_words(word_hashes(t), codes, similarity) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int64()))], names=["num", "rare"])
 
     return run
@@ -415,14 +381,14 @@ def _mixed(rows: DataFrame) -> DataFrame:
     return rows.join(tops.where("roots > 1").select("key", F.col("t.root").alias("top"), "size"), "key")
 
 
-def _across(few: DataFrame, all_: DataFrame, on: list[str], near: Column | None = None) -> DataFrame:
+def _across(few: DataFrame, all_: DataFrame, on: list[str], near: Column) -> DataFrame:
     """Pairs (x, y) of different roots: one of them is not of the commonest root, so
     texts of that root are never tried with each other."""
     extra = [c for c in few.columns if c not in ("num", "root", "top", "size", *on)]
     x = few.where("root <> top").select(*on, F.col("num").alias("x"), F.col("root").alias("x_root"), *[F.col(c).alias(f"x_{c}") for c in extra])
     y = all_.select(*on, F.col("num").alias("y"), F.col("root").alias("y_root"), (F.col("root") == F.col("top")).alias("common"), *[F.col(c).alias(f"y_{c}") for c in extra])
     once = (F.col("x_root") != F.col("y_root")) & (F.col("common") | (F.col("x") < F.col("y")))
-    return x.join(y, on).where(once if near is None else once & near)
+    return x.join(y, on).where(once & near)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -430,23 +396,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of the members (num, root) that the prefix filter leaves."""
-    named = stored(members.join(nodes.select("num", "first_id", "content", "n"), "num"), "members")
+    """Pairs of the members (num, root) that the prefix filter and the bounds leave."""
+    named = stored(members.join(nodes.select("num", "first_id", "content"), "num"), "members")
     texts = stored(_texts(named, raw, "num"), "member-texts")
-    shared = raw.sparkSession.sparkContext.broadcast(gram_codes(texts.select("raw"), similarity))
+    shared = raw.sparkSession.sparkContext.broadcast(word_codes(texts.select("raw")))
     rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, rare array<bigint>").select("num", F.explode("rare").alias("key"))
-    mixed = stored(_mixed(rare.join(named.select("num", "root", "n"), "num")), "grams")
+    mixed = stored(_mixed(rare.join(members, "num")).join(nodes.select("num", "n", "bag"), "num"), "words")
     # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    few = mixed.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    few = mixed.where("root <> top").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = mixed.withColumn("block", F.pmod(F.col("num"), blocks).cast("int"))
-    small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
-    met = _across(few, dealt, ["key", "block"], small >= large - F.floor((1 - similarity) * large + 1e-9))
-    # shared_least of the shorter text
-    need = 1 + F.least(F.lit(4), F.floor(F.floor((1 - similarity) * F.col("small") + 1e-9) / 4))
-    pair = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), small.alias("small"))
-    both = pair.groupBy("x", "y").agg(F.count("*").alias("both"), F.first("small").alias("small"))
-    return both.where(F.col("both") >= need).select("x", "y")
+    return _ordered(_across(few, dealt, ["key", "block"], _near(similarity)))
 
 
 def _unlinked(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
@@ -458,7 +418,7 @@ def _unlinked(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, raw: Data
     pairs = _ordered(_across(small, small, ["key"], _near(similarity)))
     members = stored(mixed.where(F.col("size") > SMALL).select("num", "root").distinct(), "crowd")
     if not members.isEmpty():
-        pairs = pairs.union(_possible(_by_prefix(members, nodes, raw, similarity), nodes, similarity)).distinct()
+        pairs = pairs.union(_by_prefix(members, nodes, raw, similarity)).distinct()
     pairs = stored(pairs, "pairs")
     discard(mixed)
     return pairs
