@@ -15,9 +15,10 @@ in 7 to 8 of 64 sketches on average and miss each other in one pair of 3,000; wi
 an edit in exactly every fifth word, the worst case, in one of 60.
 
 Candidates.  First each text of a bucket (a sketch's value) meets the bucket's hub, one
-of its texts.  Then the components of the accepted links are known, and in every bucket
-that still holds several of them, all texts of different components meet: no link is
-left to the luck of the hub.  Buckets of more than ``SMALL`` texts would square there;
+of its texts; then, where a bucket still holds several components of the accepted links,
+those outside the commonest one meet one of its texts.  At last, in every bucket that
+is still mixed, all texts of different components meet: no link is left to the luck of
+a hub.  Buckets of more than ``SMALL`` texts would square there;
 their texts meet by an exact prefix filter instead, in which the sketches play no part.
 
 Prefix filter.  An edit spoils one word at most, so of the ``n`` words of the longer
@@ -409,18 +410,28 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity:
     return _ordered(_across(few, dealt, ["key", "block"], _near(similarity)))
 
 
-def _unlinked(buckets: DataFrame, nodes: DataFrame, labels: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket that the links do not join yet."""
+def _open(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Buckets whose texts the links do not join yet."""
     roots = nodes.select("num", "content").join(labels.select("content.content", F.xxhash64("root.content").alias("root")), "content", "left")
     roots = roots.select("num", F.coalesce("root", "num").alias("root"))
-    mixed = stored(_mixed(buckets.select("key", "num").join(roots, "num")), "mixed")
+    return stored(_mixed(buckets.select("key", "num").join(roots, "num")), "mixed")
+
+
+def _to_common(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Texts outside a bucket's commonest component with one text of it, another one in
+    each bucket: nearly all that belong to a large group join it here."""
+    one = mixed.where("root = top").groupBy("key").agg(F.max_by("num", F.xxhash64("key", "num")).alias("x"))
+    pairs = mixed.where("root <> top").select("key", F.col("num").alias("y")).join(one, "key").select("x", "y")
+    return _possible(_ordered(pairs), nodes, similarity)
+
+
+def _unlinked(mixed: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of a bucket that the links do not join yet."""
     small = mixed.where(F.col("size") <= SMALL).join(nodes.select("num", "n", "bag"), "num")
     pairs = _ordered(_across(small, small, ["key"], _near(similarity)))
     members = stored(mixed.where(F.col("size") > SMALL).select("num", "root").distinct(), "crowd")
     if not members.isEmpty():
         pairs = pairs.union(_by_prefix(members, nodes, raw, similarity)).distinct()
-    pairs = stored(pairs, "pairs")
-    discard(mixed)
     return pairs
 
 
@@ -497,7 +508,12 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     discard(whole)
     tried = buckets.where("hub <> num").select(F.col("hub").alias("x"), F.col("num").alias("y")).distinct()
     links = _accepted(_possible(tried, nodes, similarity), nodes, raw, similarity)
-    links = links.union(_accepted(_unlinked(buckets, nodes, components(links), raw, similarity), nodes, raw, similarity))
+    mixed = _open(buckets, nodes, components(links))
+    links = links.union(_accepted(_to_common(mixed, nodes, similarity), nodes, raw, similarity))
+    discard(mixed)
+    mixed = _open(buckets, nodes, components(links))
+    links = links.union(_accepted(_unlinked(mixed, nodes, raw, similarity), nodes, raw, similarity))
+    discard(mixed)
     return rows, nodes.select("content", "first_id").join(components(links).select("content.content", "root"), "content", "left")
 
 
