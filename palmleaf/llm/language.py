@@ -8,9 +8,10 @@ languages grows one by one while the likelihood gained exceeds a penalty of
 ``PENALTY * log(n)`` (a Bayesian information criterion).  The prediction is the
 language with the largest proportion.
 
-Fitting reads at most ``SAMPLE_PER_LANGUAGE`` labelled texts of each language,
-chosen by a hash of the text, and at most ``SAMPLE_BYTES`` of each; this bound is
-the documented one of the classifier.  Prediction reads whole texts.
+Fitting counts the n-grams of all labelled texts, each whole, where they are read; only
+the sums, a fixed number for each language, reach the driver.  The classifier knows the
+``MOST_LANGUAGES`` languages with the most labelled texts, its one documented bound.
+Prediction reads whole texts.
 
 Defined results: kept columns named like an operator's own are left out; a null text, or one without a letter, is ``und`` with score 0;
 without any labelled row everything is ``und``; ties go to the language that
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from palmleaf.llm.common import fields, kept, texts_of, tune, unclashed, with_text
 
 BITS = 16
-SAMPLE_PER_LANGUAGE = 1500
-SAMPLE_BYTES = 4000
+MOST_LANGUAGES = 200
+#: Counts that are summed together, and languages that a task counts at once.
+PART, AT_ONCE = 1 << 12, 32
 CLASSES = 192
 ROUNDS = 12
 PENALTY = 2.0
@@ -66,14 +68,12 @@ class Model:
     emit: np.ndarray  # (class, language) probabilities
 
 
-def fit(rows: list[tuple[bytes, str]]) -> Model:
-    """Train on bounded (text, language) rows."""
-    languages = sorted({lang for _, lang in rows})
-    if not languages:
+def fit(rows: list[tuple[str, np.ndarray]]) -> Model:
+    """Train on the n-gram counts of languages, a row each."""
+    if not rows:
         return Model([], np.zeros(1 << BITS, np.uint8), np.zeros((1, 0)))
-    counts = np.zeros((len(languages), 1 << BITS))
-    for raw, lang in rows:
-        counts[languages.index(lang)] += np.bincount(grams(raw[:SAMPLE_BYTES]), minlength=1 << BITS)
+    languages = [lang for lang, _ in rows]
+    counts = np.stack([c for _, c in rows]).astype(float)
     given = (counts + 0.02) / (counts.sum(axis=1, keepdims=True) + 0.02 * (1 << BITS))
     weight = counts.sum(axis=0) + 1e-3
     profile = np.log(given / given.mean(axis=0)).T  # (n-gram, language)
@@ -147,21 +147,51 @@ def predict(model: Model, texts: list[bytes | None], penalty: float = PENALTY) -
     return names, scores, shares
 
 
-def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[bytes, str]]:
-    """At most ``per_language`` labelled texts of each language, by a hash of the
-    text; at most ``SAMPLE_BYTES`` of each reach the driver."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = [r[0] for r in labelled.select("lang").distinct().toLocalIterator()]
-    rows: list[tuple[bytes, str]] = []
-    for lang in sorted(known):
-        picked = (
-            labelled.where(F.col("lang") == lang)
-            .select(F.substring("text", 1, SAMPLE_BYTES).cast("binary").alias("t"), F.xxhash64("text").alias("h"))
-            .orderBy("h")
-            .limit(per_language)
-        )
-        rows += [(bytes(r[0]), lang) for r in picked.collect()]
-    return rows
+def _counted(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for lang, counts in sums.items():
+        parts = [k for k in range(0, len(counts), PART) if counts[k : k + PART].any()]
+        arrays = [pa.array([lang] * len(parts)), pa.array([k // PART for k in parts], pa.int32()), pa.array([counts[k : k + PART].tobytes() for k in parts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["lang", "part", "counts"])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's n-gram counts by language, in parts."""
+    sums: dict[str, np.ndarray] = {}
+    for batch in batches:
+        by: dict[str, list[np.ndarray]] = {}
+        for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(lang, []).append(grams(raw))
+        for lang, found in by.items():
+            sums[lang] = sums.get(lang, 0) + np.bincount(np.concatenate(found), minlength=1 << BITS)
+        if len(sums) > AT_ONCE:
+            yield from _counted(sums)
+            sums.clear()
+    yield from _counted(sums)
+
+
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[tuple[str, int], np.ndarray] = {}
+    for batch in batches:
+        for lang, part, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sums[lang, part] = sums.get((lang, part), 0) + np.frombuffer(raw, np.int64)
+    for (lang, part), counts in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([part], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["lang", "part", "counts"])
+
+
+def training_rows(docs: DataFrame, most: int = MOST_LANGUAGES, lang_col: str = "lang", text_col: str = "text") -> list[tuple[str, np.ndarray]]:
+    """(language, n-gram counts) of all labelled texts; ``most`` languages at most,
+    those with the most texts."""
+    tune(docs.sparkSession)
+    labelled = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("raw")).where("lang IS NOT NULL AND raw IS NOT NULL")
+    known = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most + 1).collect()
+    if len(known) > most:
+        labelled = labelled.where(F.col("lang").isin([r.lang for r in known[:most]]))
+    schema = "lang string, part int, counts binary"
+    sums = labelled.mapInArrow(_count, schema).repartition("lang", "part").mapInArrow(_total, schema)
+    out = {r.lang: np.zeros(1 << BITS, np.int64) for r in known[:most]}
+    for r in sums.toLocalIterator():
+        out[r.lang][r.part * PART : (r.part + 1) * PART] = np.frombuffer(r.counts, np.int64)
+    return sorted(out.items())
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", penalty: float = PENALTY) -> DataFrame:
