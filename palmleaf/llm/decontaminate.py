@@ -6,9 +6,12 @@ window) becomes one pattern of the automaton; each document is scanned once, and
 the matches are mapped back to word numbers and to character offsets of the
 original text.
 
-The pattern set is the stated query set of the operator: it is measured before
-it is shipped, and beyond ``block_bytes`` it is cut into blocks.  The documents
-are then scanned once a block, each automaton staying within the same memory.
+The pattern set is the stated query set of the operator.  Windows are made where the
+benchmark is read, and measured before they are shipped: up to ``block_bytes`` they are
+one automaton and one scan.  A larger set is dealt by hash into blocks of that size;
+the documents, numbered in the shared folder, are then scanned in one job a block, and
+the hits of a document are merged by its number.  So the driver and each worker hold
+one block and one automaton at a time.
 
 Defined results: kept columns named like an operator's own are left out; a null or wordless text has no words, no hits and is clean; a
 null or wordless item has no window; repeated items with the same id count once;
@@ -29,7 +32,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palmleaf.llm.common import fields, kept, texts_of, tune, unclashed, with_text
+from palmleaf.llm.common import fields, kept, stored, texts_of, tune, unclashed, with_text
 
 WIDTH = 10
 #: Bytes of pattern text in one automaton block.
@@ -52,27 +55,32 @@ def _spaced(words: list[bytes]) -> str:
     return (b" " + b" ".join(words) + b" ").decode("latin-1")
 
 
-def windows(items: list[tuple[object, bytes | None]], width: int = WIDTH) -> dict[str, list]:
-    """Pattern -> ids of the items that hold it."""
-    found: dict[str, dict] = {}
-    for item_id, raw in items:
-        words = words_of(raw)
-        for at in range(max(1, len(words) - width + 1) if words else 0):
-            found.setdefault(_spaced(words[at : at + width]), {})[item_id] = True
-    return {pattern: list(ids) for pattern, ids in found.items()}
+def windows(raw: bytes | None, width: int = WIDTH) -> set[str]:
+    """The patterns of an item."""
+    words = words_of(raw)
+    return {_spaced(words[at : at + width]) for at in range(max(1, len(words) - width + 1) if words else 0)}
 
 
-def blocks(patterns: dict[str, list], block_bytes: int = BLOCK_BYTES) -> list[list[tuple]]:
-    """Patterns as (text, number of words, item ids), cut by their bytes."""
-    out: list[list[tuple]] = [[]]
-    size = 0
-    for text in sorted(patterns):
-        if size + len(text) > block_bytes and out[-1]:
-            out.append([])
-            size = 0
-        out[-1].append((text, text.count(" ") - 1, patterns[text]))
-        size += len(text)
-    return out
+def patterns(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(pattern, item_id) of all windows, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(p.encode("latin-1"), item) for item, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True) for p in windows(raw, width)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.string())], names=["pattern", "item_id"]
+            )
+
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("binary"))
+    return items.mapInArrow(run, "pattern binary, item_id string").distinct()
+
+
+def block(rows: list) -> list[tuple]:
+    """Patterns as (text, number of words, item ids)."""
+    found: dict[str, list] = {}
+    for pattern, item in rows:
+        found.setdefault(bytes(pattern).decode("latin-1"), []).append(item)
+    return [(text, text.count(" ") - 1, ids) for text, ids in sorted(found.items())]
 
 
 _built: dict[str, ahocorasick.Automaton] = {}
@@ -107,10 +115,6 @@ def _hits(normal: str, auto, ids: list[tuple]) -> tuple[np.ndarray | None, set]:
     return np.cumsum(marks)[: int(breaks[-1]) - 1] > 0, items
 
 
-def _merge(flags, more):
-    return more if flags is None else flags if more is None else flags | more
-
-
 def char_spans(text: str, flags: np.ndarray) -> list[list[int]]:
     """Maximal runs of hit words as [start, end) code points of the original."""
     spans: list[list[int]] = []
@@ -125,49 +129,76 @@ def char_spans(text: str, flags: np.ndarray) -> list[list[int]]:
     return spans
 
 
-def _scan(parts: list[tuple[str, Broadcast]], at_text: int, keep: list[str]):
+def _found(texts: list[bytes | None], name: str, part: Broadcast) -> tuple[list[int], list, list[set]]:
+    """Numbers of words, word flags and items of each text."""
+    auto = _automaton(name, part.value)
+    words = [words_of(raw) for raw in texts]
+    hits = [_hits(_spaced(w), auto, part.value) if w and auto is not None else (None, set()) for w in words]
+    return [len(w) for w in words], [f for f, _ in hits], [ids for _, ids in hits]
+
+
+_OUT = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans"]
+
+
+def _report(texts: list[bytes | None], counts: list[int], flags: list, items: list[set]) -> list[pa.Array]:
+    """Columns ``_OUT``."""
+    named = [sorted(i for i in ids if i is not None) for ids in items]
+    spans = [char_spans(raw.decode("utf-8", "replace"), f) if f is not None else [] for raw, f in zip(texts, flags, strict=True)]
+    return [
+        pa.array(counts, pa.int64()),
+        pa.array([0 if f is None else int(f.sum()) for f in flags], pa.int64()),
+        pa.array([len(x) for x in named], pa.int64()),
+        pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]),
+        pa.array([f is not None for f in flags]),
+        pa.array(named, pa.list_(pa.string())),
+        pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+    ]
+
+
+def _scan(name: str, part: Broadcast, at_text: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch, at_text)
-            normal = [words_of(raw) for raw in texts]
-            counts = [len(w) for w in normal]
-            normal = [_spaced(w) if w else "" for w in normal]
-            flags: list = [None] * len(texts)
-            items: list[set] = [set() for _ in texts]
-            for name, part in parts:
-                auto = _automaton(name, part.value)
-                if auto is None:
-                    continue
-                for at, text in enumerate(normal):
-                    if text:
-                        more, ids = _hits(text, auto, part.value)
-                        flags[at] = _merge(flags[at], more)
-                        items[at] |= ids
-            named = [sorted({str(i) for i in ids if i is not None}) for ids in items]
-            spans = [
-                char_spans(raw.decode("utf-8", "replace"), f) if f is not None else []
-                for raw, f in zip(texts, flags, strict=True)
-            ]
+            yield pa.RecordBatch.from_arrays([*kept(batch, len(keep)), *_report(texts, *_found(texts, name, part))], names=[*keep, *_OUT])
+
+    return run
+
+
+def _scan_block(name: str, part: Broadcast):
+    """(number, first and last words of runs, items) of the documents hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, flags, items = _found(texts_of(batch, 1), name, part)
+            rows = [k for k, f in enumerate(flags) if f is not None]
+            edges = [np.flatnonzero(np.diff(np.concatenate(([0], flags[k].astype(np.int8), [0])))).tolist() for k in rows]
             yield pa.RecordBatch.from_arrays(
-                [
-                    *kept(batch, len(keep)),
-                    pa.array(counts, pa.int64()),
-                    pa.array([0 if f is None else int(f.sum()) for f in flags], pa.int64()),
-                    pa.array([len(x) for x in named], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in named]),
-                    pa.array([f is not None for f in flags]),
-                    pa.array(named, pa.list_(pa.string())),
-                    pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                ],
-                names=[
-                    *keep,
-                    "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans",
-                ],
+                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(edges, pa.list_(pa.int64())), pa.array([list(items[k]) for k in rows], pa.list_(pa.string()))],
+                names=["row", "runs", "items"],
             )
 
     return run
 
 
+def _joined(at_text: int, keep: list[str]):
+    """The report from the runs and items of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = texts_of(batch, at_text)
+            counts, flags, items = [len(words_of(raw)) for raw in texts], [], []
+            for n, runs, found in zip(counts, batch.column("runs").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                mark = np.zeros(n, bool)
+                for edges in runs or []:
+                    for a, b in zip(edges[::2], edges[1::2], strict=True):
+                        mark[a:b] = True
+                flags.append(mark if runs else None)
+                items.append({i for ids in found or [] for i in ids})
+            yield pa.RecordBatch.from_arrays([*kept(batch, len(keep)), *_report(texts, counts, flags, items)], names=[*keep, *_OUT])
+
+    return run
+
+
 def decontaminate(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -178,12 +209,11 @@ def decontaminate(
 ) -> DataFrame:
     """``keep`` columns of ``docs`` plus n_words, n_hit, n_items, items_sha256,
     contaminated, item_ids and hit_spans ([start, end) code points)."""
-    keep = unclashed(keep, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "item_ids", "hit_spans")
+    keep = unclashed(keep, *_OUT)
     spark = tune(docs.sparkSession)
-    # the stated query set: read whole, at most one row for each item and text
-    items = benchmark.select("item_id", F.col("text").cast("binary").alias("raw")).distinct()
-    patterns = windows([(r[0], bytes(r[1]) if r[1] is not None else None) for r in items.toLocalIterator()], width)
-    parts = [(uuid.uuid4().hex, spark.sparkContext.broadcast(b)) for b in blocks(patterns, block_bytes)]
+    found = stored(patterns(benchmark, width), "patterns")
+    size = found.agg(F.sum(F.length("pattern"))).head()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
     schema = ", ".join(
         [
             *fields(docs, keep),
@@ -192,4 +222,17 @@ def decontaminate(
         ]
     )
     rows, at = with_text(docs, keep, text_col)
-    return rows.mapInArrow(_scan(parts, at, keep), schema)
+    if blocks == 1:
+        return rows.mapInArrow(_scan(uuid.uuid4().hex, spark.sparkContext.broadcast(block(found.collect())), at, keep), schema)
+    # whole rows in a struct: their columns may have any names
+    numbered = stored(rows.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("doc")), "numbered")
+    texts = numbered.select("row", F.col(f"doc.`{rows.columns[at]}`").alias("text"))
+    hits = None
+    for k in range(blocks):
+        part = spark.sparkContext.broadcast(block(found.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()))
+        one = stored(texts.mapInArrow(_scan_block(uuid.uuid4().hex, part), "row bigint, runs array<bigint>, items array<string>"), "hits")
+        part.destroy()
+        hits = one if hits is None else hits.union(one)
+    merged = hits.groupBy("row").agg(F.collect_list("runs").alias("runs"), F.collect_list("items").alias("items"))
+    whole = numbered.join(merged, "row", "left").select(*[F.col(f"doc.`{c}`").alias(c) for c in rows.columns], "runs", "items")
+    return whole.mapInArrow(_joined(at, keep), schema)
