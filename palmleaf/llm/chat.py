@@ -11,7 +11,12 @@ Skew: places are prefix sums on two levels, blocks of ``BLOCK`` turns and turns
 within a block; only the blocks' sums of one conversation meet in a task.
 Everything is DataFrame and SQL functions.
 
-Defined results: turns go by turn (null last), role, text; a null role is the
+Markers cannot be forged: ``<|`` in a text or a name, and ``|>`` in a name, get a
+backslash between their two characters, one more than they have; to take one away
+gives the original back.
+
+Defined results: only the columns conv_id, turn, role and text are read, and no other is
+carried, whatever its name; an empty table gives no row; turns go by turn (null last), role, text; a null role is the
 participant ``unknown``; a null text is empty; rows with a null conv_id form one
 conversation; a conversation with system turns only has no perspective; repeated
 rows are rendered once each.
@@ -19,7 +24,7 @@ rows are rendered once each.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 64
@@ -28,6 +33,11 @@ UNKNOWN = "unknown"
 _LAST = (1 << 62) // BLOCK
 
 
+def escaped(text: Column, close: bool = False) -> Column:
+    out = F.regexp_replace(text, r"<(\\*+)\|", r"<$1\\|")
+    return F.regexp_replace(out, r"\|(\\*+)>", r"|$1\\>") if close else out
+
+
 def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, perspective, turn, speaker, segment, is_target, start, target_from
     and target_to (code points within the dialogue; null where masked)."""
@@ -35,7 +45,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         "conv_id",
         "turn",
         F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        escaped(F.coalesce("text", F.lit(""))).alias("text"),
         F.coalesce(F.floor(F.col("turn") / block).cast("bigint"), F.lit(_LAST)).alias("block"),
     )
     cast = said.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv"), F.col("speaker").alias("perspective")).distinct()
@@ -44,7 +54,7 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     head = (
         F.when(F.col("speaker") == SYSTEM, F.lit("<|system|>\n"))
         .when(target, F.lit("<|assistant|>\n"))
-        .otherwise(F.concat(F.lit("<|user name="), "speaker", F.lit("|>\n")))
+        .otherwise(F.concat(F.lit("<|user name="), escaped(F.col("speaker"), close=True), F.lit("|>\n")))
     )
     shown = seen.withColumns({"is_target": target, "head": head}).withColumn(
         "segment", F.concat("head", "text", F.lit("<|end|>\n"))
@@ -71,14 +81,14 @@ def rotate(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-SQL = """
+SQL = r"""
 WITH said AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS text FROM conversations),
 "cast" AS (SELECT DISTINCT conv_id AS conv, speaker AS perspective FROM said WHERE speaker <> 'system'),
 seen AS (
   SELECT conv_id, perspective, turn, speaker, text, speaker = perspective AS is_target,
          CASE WHEN speaker = 'system' THEN '<|system|>' WHEN speaker = perspective THEN '<|assistant|>'
-              ELSE '<|user name=' || speaker || '|>' END || chr(10) AS head
+              ELSE '<|user name=' || regexp_replace(regexp_replace(speaker, '<(\\*)\|', '<\1\\|', 'g'), '\|(\\*)>', '|\1\\>', 'g') || '|>' END || chr(10) AS head
   FROM said JOIN "cast" ON conv_id IS NOT DISTINCT FROM conv),
 shown AS (SELECT *, head || text || '<|end|>' || chr(10) AS segment FROM seen),
 placed AS (
