@@ -73,6 +73,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+#: Where an element that is no node ends; offsets are the page's own.
+_END = {tag: re.compile(rf"</{tag}(?=[>/ \n\t\r\f]|\Z)", re.I | re.A) for tag in RAW}
 _SPACE = re.compile(r"\s+")
 
 
@@ -105,8 +107,14 @@ class Tree:
 
 def parse(page: str) -> Tree:
     tree, open_, at = Tree(), [0], 0
-    low: str | None = None
+    depth: dict[str, int] = {}  # open elements by tag
     size = len(page)
+
+    def close(k: int) -> None:
+        for node in open_[k:]:
+            depth[tree.tag[node]] -= 1
+        del open_[k:]
+
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -121,52 +129,47 @@ def parse(page: str) -> Tree:
             break  # an unfinished tag
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
-                if tree.tag[open_[k]] == tag:
-                    del open_[k:]
-                    break
+            if depth.get(tag):
+                close(next(k for k in range(len(open_) - 1, 0, -1) if tree.tag[open_[k]] == tag))
             if tag not in INLINE:
                 tree.runs.append((-1, ""))
             continue
         if tag in ("html", "body"):
             continue
         if tag in RAW:
-            low = low or page.lower()
-            end = low.find(f"</{tag}", at)
-            while end >= 0 and low[end + len(tag) + 2 : end + len(tag) + 3] not in ("", ">", "/", " ", "\n", "\t", "\r", "\f"):
-                end = low.find(f"</{tag}", end + 2)
-            if end < 0:
+            ended = _END[tag].search(page, at)
+            if not ended:
                 # an unclosed head or title is no reason to lose the page
                 if tag in ("head", "noscript"):
                     continue
                 break
-            close = page.find(">", end)
-            at = size if close < 0 else close + 1
+            at = page.find(">", ended.start()) + 1 or size
             continue
-        if tag in ENDS_P:
+        if tag in ENDS_P and depth.get("p"):
             for k in range(len(open_) - 1, 0, -1):
                 name = tree.tag[open_[k]]
                 if name == "p":
-                    del open_[k:]
+                    close(k)
                     break
                 if name not in INLINE:
                     break
         if tag in SIBLING:
             ends, scope = SIBLING[tag]
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if any(depth.get(name) for name in ends) else ():
                 name = tree.tag[open_[k]]
                 if name in scope:
                     break
                 if name in ends:
-                    del open_[k:]
+                    close(k)
                     break
         if tag == "br":
             tree.runs.append((open_[-1], " "))
         node = tree.add(tag, hint(m[3]) if m[3] else "none", open_[-1])
         if tag not in INLINE:
             tree.runs.append((-1, ""))
-        if tag not in VOID and not m[3].endswith("/"):
+        if tag not in VOID:  # a slash closes no other element, as in browsers
             open_.append(node)
+            depth[tag] = depth.get(tag, 0) + 1
     return tree
 
 
@@ -207,20 +210,25 @@ class Model:
         seen: dict[tuple, list[float]] = {}
         edges: dict[tuple, list[float]] = {}
         n = [2 * smooth, 2 * smooth]
+        body, pooled = [1.0, 1.0], {0: [1.0, 1.0], 1: [1.0, 1.0]}
         for tree, labels in labelled:
             for node, seen_here in enumerate(evidence(tree)):
                 y = labels[node]
                 n[y] += 1
                 for feature, value in enumerate(seen_here[1:], 1):
                     seen.setdefault((feature, value), [smooth, smooth])[y] += 1
-                if node:
+                if not node:
+                    body[y] += 1
+                else:
                     tag, region = seen_here[0]
+                    pooled[labels[tree.parent[node]]][y] += 1
                     for place in {region, "*"}:
                         edges.setdefault((tag, place, labels[tree.parent[node]]), [smooth, smooth])[y] += 1
         self.seen = {k: (log(v[0] / n[0]), log(v[1] / n[1])) for k, v in seen.items()}
         self.edges = {k: (log(v[0] / sum(v)), log(v[1] / sum(v))) for k, v in edges.items()}
-        # an unknown tag mostly takes its parent's label
-        self.stay = {0: (log(0.85), log(0.15)), 1: (log(0.1), log(0.9))}
+        # an unknown tag goes by all edges; the body itself is seldom content
+        self.stay = {k: (log(v[0] / sum(v)), log(v[1] / sum(v))) for k, v in pooled.items()}
+        self.body = log(body[1] / body[0])
 
     def edge(self, kind: tuple[str, str], parent: int) -> tuple[float, float]:
         """Log potentials of a child's labels under its parent's."""
@@ -262,7 +270,7 @@ def marginals(tree: Tree, model: Model) -> list[float]:
         p = tree.parent[node]
         up0[p] += m0
         up1[p] += m1
-    up1[0] -= 3.0  # the body itself is seldom content
+    up1[0] += model.body
     all0, all1 = up0[:], up1[:]
     for node in range(1, size):
         p = tree.parent[node]

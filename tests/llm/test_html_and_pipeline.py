@@ -3,6 +3,7 @@
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -63,7 +64,7 @@ def test_labelled_pages_are_learnt_and_marginals_exact():
     weights = np.zeros((1 << n))
     for code in range(1 << n):
         y = [code >> k & 1 for k in range(n)]
-        w = model.potentials(seen[0])[y[0]] - 3.0 * y[0]
+        w = model.potentials(seen[0])[y[0]] + model.body * y[0]
         for k in range(1, n):
             w += model.potentials(seen[k])[y[k]] + model.edge(seen[k][0], y[tree.parent[k]])[y[k]]
         weights[code] = w
@@ -72,6 +73,20 @@ def test_labelled_pages_are_learnt_and_marginals_exact():
     assert np.allclose(html_extract.marginals(tree, model), exact)
 
 
+def test_no_text_is_lost_and_stray_tags_are_cheap():
+    article = "<article><p>The first paragraph of the story is long enough to count as text.</p>{}<p>And the second one must not vanish either, whatever came before it.</p></article>"
+    for between in ("<script>var x = 1;</script>", "İ" * 12 + "<script>var x = '</scripts>';</SCRIPT >", "<style>p{}</style\n>"):
+        text = html_extract.main_text("<html><body>" + "İ" * 12 + article.format(between) + "</body></html>")
+        assert "first paragraph" in text and "must not vanish" in text and "var x" not in text
+    began = time.time()
+    html_extract.main_text("<body><article><p>Some words of a story that go on for a while.</p>" + "<span>" * 20_000 + "</x>" * 20_000 + "</article></body>")
+    html_extract.main_text("<body>" + "<ul><li>" * 5_000 + "<p>" * 20_000 + "</b>" * 20_000)
+    assert time.time() - began < 5
+    # a slash closes nothing, as in browsers
+    tree = html_extract.parse("<div/><p>x</p><a href=a/>y</a>z")
+    assert tree.parent == [-1, 0, 1, 1] and [r for r in tree.runs if r[0] >= 0] == [(2, "x"), (3, "y"), (1, "z")]
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -180,3 +180,27 @@ def test_word_ids_equal_whole_texts(texts):
     for text in odd:
         got = np.frombuffer(packing.token_bytes([text.encode()], VOCAB)[0], "<u4").tolist()
         assert got == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_in_texts(spark):
+    rows = [(1, "a <|endoftext|> b"), (2, "<|STARTOFTEXT|>x<|startoftext|>"), (3, "it's <|endoftext|>" * 900)]
+    _packed(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"], VOCAB).collect(), rows)
+
+
+def test_few_bins_rise_and_none_is_wasted():
+    """Middling bins stay where they are; the count of sequences is that of all bins together."""
+    rng = np.random.default_rng(3)
+    assert len(packing.rising([2500] * 5000, 4096, 8, 8)) == packing.LEVELS * 8
+    for sizes in (rng.integers(2049, 4000, 3000), rng.integers(1, 3000, 3000), np.concatenate([rng.integers(2100, 4000, 2990), rng.integers(1, 1500, 10)])):
+        left, done = [list(map(int, part)) for part in np.array_split(sizes, 64)], 0
+        while True:
+            last, above = len(left) == 1, []
+            for node in left:
+                totals = [sum(node[i] for i in b) for b in packing.best_fit(node)]
+                up = set() if last else packing.rising(totals, 4096, 8, 8)
+                done += len(totals) - len(up)
+                above.append([totals[k] for k in sorted(up)])
+            if last:
+                break
+            left = [sum(above[k : k + 8], []) for k in range(0, len(above), 8)]
+        assert done <= 1.01 * len(packing.best_fit(list(map(int, sizes)))) + 64
