@@ -22,14 +22,14 @@ def query(sql: str | None = None):
 
 
 @query(
-    """WITH r AS (SELECT conv_id, turn, substr(text, 1, 12) AS surface FROM conversations), k AS (SELECT substr(text, 1, 12) AS surface FROM benchmark),
+    """WITH r AS (SELECT conv_id, turn, text AS surface FROM conversations), k AS (SELECT text AS surface FROM benchmark),
     f AS (SELECT surface, arg_min(conv_id, (conv_id, turn)) AS conv_id, arg_min(turn, (conv_id, turn)) AS turn FROM r GROUP BY surface)
     SELECT surface, conv_id, turn FROM f WHERE surface NOT IN (SELECT surface FROM k)"""
 )
 def rule_anti_dedupe(spark, sf_dir):
     """New surfaces, each once, the first one."""
-    found = table(spark, sf_dir, "conversations").select(F.substring("text", 1, 12).alias("surface"), "conv_id", "turn").withColumn("o", F.struct("conv_id", "turn"))
-    known = table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 12).alias("surface"))
+    found = table(spark, sf_dir, "conversations").select(F.col("text").alias("surface"), "conv_id", "turn").withColumn("o", F.struct("conv_id", "turn"))
+    known = table(spark, sf_dir, "benchmark").select(F.col("text").alias("surface"))
     return ingest.new_rules(found, known, ["surface"], "o").select("surface", "conv_id", "turn")
 
 

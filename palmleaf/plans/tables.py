@@ -12,9 +12,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than cores, as a small file gives, dealt to all cores;
+    larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, line_no, line) of all documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.split("text", "\n").alias("lines"))
     return docs.select("doc_id", F.posexplode("lines").alias("line_no", "line"))
 
 
@@ -58,4 +65,4 @@ BOXES_SQL = (
          CAST(length(line) * 5 AS INTEGER) AS w, CAST(14 + (doc_id + line_no) % 5 AS INTEGER) AS h FROM lines)
 """
 )
-__all__ = ["BOXES_SQL", "LINES_SQL", "RE2_SPACE", "SPACE", "boxes", "document_lines", "sql_strip", "sql_sub", "table"]
+__all__ = ["BOXES_SQL", "LINES_SQL", "RE2_SPACE", "SPACE", "boxes", "document_lines", "spread", "sql_strip", "sql_sub", "table"]

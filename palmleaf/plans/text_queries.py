@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from palmleaf.functions import text as T
 from palmleaf.functions.udfs import nfc
 from palmleaf.operators import lexicon, quality
-from palmleaf.plans.tables import LINES_SQL, RE2_SPACE, document_lines, sql_strip, sql_sub, table
+from palmleaf.plans.tables import LINES_SQL, RE2_SPACE, document_lines, spread, sql_strip, sql_sub, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -45,12 +45,12 @@ _WS = f"[{RE2_SPACE}]*"
 
 @query(
     f"""SELECT doc_id, {sql_sub(sql_sub('text', '(?:॥+|[|]{2,}|।{2,})', ' ॥ '), _WS + '॥' + _WS, ' ॥ ')} AS text
-    FROM documents WHERE contains(text, '|')"""
+    FROM documents"""
 )
 def danda_double(spark, sf_dir):
     """Double bars as spaced double dandas."""
     out = T.sub(T.sub(F.col("text"), r"(?:॥+|\|{2,}|।{2,})", " ॥ "), r"\s*॥\s*", " ॥ ")
-    return table(spark, sf_dir, "documents").where(F.col("text").contains("|")).select("doc_id", out.alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", out.alias("text"))
 
 
 _DANDAS = [
@@ -100,8 +100,11 @@ _A = sql_sub(sql_strip("line"), f"^[(\\[{{<]{_WS}|{_WS}[)\\]}}>]$", "")
 @query(f"WITH {LINES_SQL} SELECT * FROM (SELECT doc_id, line_no, {sql_strip(sql_sub(_A, f'[{_BLANK}]+', ' '))} AS line FROM lines) WHERE line <> ''")
 def line_explode_clean(spark, sf_dir):
     """Lines without stray brackets and repeated blanks; empty ones go."""
-    line = T.strip(F.regexp_replace(T.sub(T.strip(F.col("line")), T.STRAY_BRACKET, ""), f"[{T.BLANK}]+", " "))
-    return document_lines(spark, sf_dir).select("doc_id", "line_no", line.alias("line")).where("line <> ''")
+    clean = lambda x: T.strip(F.regexp_replace(T.sub(T.strip(x), T.STRAY_BRACKET, ""), f"[{T.BLANK}]+", " "))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    # cleaned and filtered within the array, so that each line is cleaned once
+    lines = F.transform(F.split("text", "\n"), lambda x, k: F.struct(k.alias("line_no"), clean(x).alias("line")))
+    return docs.select("doc_id", F.inline(F.filter(lines, lambda x: x["line"] != "")))
 
 
 @query(

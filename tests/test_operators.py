@@ -128,3 +128,23 @@ def test_first_rows_ignore_input_order(spark):
     one = sorted(tuple(r) for r in ingest.first_rows(rows, ["k"], "o").collect())
     two = sorted(tuple(r) for r in ingest.first_rows(rows.orderBy(F.desc("o")), ["k"], "o").collect())
     assert one == two == [("a", 1, "x"), ("b", 2, "y")]
+
+
+def test_dictionary_blocks_give_the_same_answers(spark, monkeypatch):
+    """A dictionary of more than one block answers as one of one block."""
+    from palmleaf.operators import translate
+
+    entries = spark.createDataFrame([(k, f"word{k} some longer entry {k}", f"gloss {k}") for k in range(30)], "ord int, key string, english string")
+    texts = spark.createDataFrame([(f"word{k} some longer entry",) for k in range(12)] + [("an word3 some longer entry 3 here",), ("wrd7 sme longer entry 7",)], "cleaned string").withColumn("norm", F.col("cleaned"))
+    known = translate.normalised(entries)
+    whole = [sorted(map(tuple, tier(texts, known).collect())) for tier in (translate.partial, translate.fuzzy)]
+    monkeypatch.setattr(translate, "BROADCAST_ROWS", 4)
+    assert [sorted(map(tuple, tier(texts, known).collect())) for tier in (translate.partial, translate.fuzzy)] == whole
+    assert all(whole)
+
+
+def test_long_lines_do_not_end_the_jvm(spark):
+    from palmleaf.operators import quality
+
+    lines = spark.createDataFrame([("क" * 300_000,), ("कखग" * 100_000,), ("क्षत्र" * 50_000,), (" " * 300_000,)], "t string")
+    assert [r[0] for r in lines.select(quality.validity(F.col("t"))).collect()] == [0.0, 1.0, 1.0, 0.0]
