@@ -14,9 +14,10 @@ similarity, a fifth of the words edited, triples spread over the text at random
 in 7 to 8 of 64 sketches on average and miss each other in one pair of 3,000; with
 an edit in exactly every fifth word, the worst case, in one of 60.
 
-Candidates.  First each text of a bucket (a sketch's value) meets the bucket's hub, one
-of its texts; then, where a bucket still holds several components of the accepted links,
-those outside the commonest one meet one of its texts.  At last, in every bucket that
+Candidates.  First each text meets the smallest hub of its buckets (a bucket, a sketch's
+value, has one of its texts as hub) that the bounds below allow; then, where a bucket
+still holds several components of the accepted links, those outside the commonest one
+meet one of its texts.  At last, in every bucket that
 is still mixed, all texts of different components meet: no link is left to the luck of
 a hub.  Buckets of more than ``SMALL`` texts would square there;
 their texts meet by an exact prefix filter instead, in which the sketches play no part.
@@ -371,7 +372,7 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """Pairs (x, y) that the bounds let through."""
-    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select("x", "y")
+    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select(*pairs.columns)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -421,8 +422,9 @@ def _to_common(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFra
     """Texts outside a bucket's commonest component with one text of it, another one in
     each bucket: nearly all that belong to a large group join it here."""
     one = mixed.where("root = top").groupBy("key").agg(F.max_by("num", F.xxhash64("key", "num")).alias("x"))
-    pairs = mixed.where("root <> top").select("key", F.col("num").alias("y")).join(one, "key").select("x", "y")
-    return _possible(_ordered(pairs), nodes, similarity)
+    pairs = mixed.where("root <> top").select("key", "top", F.col("num").alias("y")).join(one, "key").select("x", "y", "top").distinct()
+    # one pair of a text and a component is enough to begin with
+    return _ordered(_possible(pairs, nodes, similarity).groupBy("y", "top").agg(F.max_by("x", F.xxhash64("x", "y")).alias("x")))
 
 
 def _unlinked(mixed: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
@@ -507,7 +509,9 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     buckets = stored(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
     discard(whole)
     tried = buckets.where("hub <> num").select(F.col("hub").alias("x"), F.col("num").alias("y")).distinct()
-    links = _accepted(_possible(tried, nodes, similarity), nodes, raw, similarity)
+    # a text of a large group meets one hub, not one in each of its buckets
+    first = _possible(tried, nodes, similarity).groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
+    links = _accepted(first, nodes, raw, similarity)
     mixed = _open(buckets, nodes, components(links))
     links = links.union(_accepted(_to_common(mixed, nodes, similarity), nodes, raw, similarity))
     discard(mixed)
