@@ -64,6 +64,8 @@ SIMILARITY = 0.8
 K_FROM = ((48, 3), (16, 2), (0, 1))
 #: Places of the word counts that bound a pair's edits from below.
 BINS = 64
+#: Rounds in which texts meet one of the commonest component, before all of them meet.
+TURNS = 2
 #: Texts of a bucket that meet in it; those of larger ones meet by the prefix filter.
 SMALL = 256
 #: Hash values held at once while a text is sketched.
@@ -361,9 +363,12 @@ def _near(similarity: float) -> Column:
     s words replaced and d more or less move the counts by 2 * s + d at most."""
     small, large = F.least("x_n", "y_n"), F.greatest("x_n", "y_n")
     most = F.floor((1 - similarity) * large + 1e-9)
-    apart = F.aggregate(F.zip_with("x_bag", "y_bag", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, d: s + d)
     # lengths first: the counts are only summed where these allow it
-    return F.when(small < large - most, False).otherwise(apart <= 2 * most - (large - small))
+    return F.when(small < large - most, False).otherwise(_apart() <= 2 * most - (large - small))
+
+
+def _apart() -> Column:
+    return F.aggregate(F.zip_with("x_bag", "y_bag", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, d: s + d)
 
 
 def _side(nodes: DataFrame, name: str) -> DataFrame:
@@ -371,8 +376,8 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) that the bounds let through."""
-    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select(*pairs.columns)
+    """Pairs (x, y) that the bounds let through, with the difference of their counts."""
+    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select(*pairs.columns, _apart().alias("apart"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -418,13 +423,13 @@ def _open(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(_mixed(buckets.select("key", "num").join(roots, "num")), "mixed")
 
 
-def _to_common(mixed: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _to_common(mixed: DataFrame, nodes: DataFrame, similarity: float, turn: int) -> DataFrame:
     """Texts outside a bucket's commonest component with one text of it, another one in
     each bucket: nearly all that belong to a large group join it here."""
-    one = mixed.where("root = top").groupBy("key").agg(F.max_by("num", F.xxhash64("key", "num")).alias("x"))
+    one = mixed.where("root = top").groupBy("key").agg(F.max_by("num", F.xxhash64("key", "num", F.lit(turn))).alias("x"))
     pairs = mixed.where("root <> top").select("key", "top", F.col("num").alias("y")).join(one, "key").select("x", "y", "top").distinct()
-    # one pair of a text and a component is enough to begin with
-    return _ordered(_possible(pairs, nodes, similarity).groupBy("y", "top").agg(F.max_by("x", F.xxhash64("x", "y")).alias("x")))
+    # one pair of a text and a component, the closest, is enough to begin with
+    return _ordered(_possible(pairs, nodes, similarity).groupBy("y", "top").agg(F.min_by("x", F.struct("apart", "x")).alias("x")))
 
 
 def _unlinked(mixed: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
@@ -512,9 +517,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     # a text of a large group meets one hub, not one in each of its buckets
     first = _possible(tried, nodes, similarity).groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
     links = _accepted(first, nodes, raw, similarity)
-    mixed = _open(buckets, nodes, components(links))
-    links = links.union(_accepted(_to_common(mixed, nodes, similarity), nodes, raw, similarity))
-    discard(mixed)
+    for turn in range(TURNS):
+        mixed = _open(buckets, nodes, components(links))
+        links = links.union(_accepted(_to_common(mixed, nodes, similarity, turn), nodes, raw, similarity))
+        discard(mixed)
     mixed = _open(buckets, nodes, components(links))
     links = links.union(_accepted(_unlinked(mixed, nodes, raw, similarity), nodes, raw, similarity))
     discard(mixed)
