@@ -27,7 +27,9 @@ text, labelled with their occurrence numbers, two near texts share ``n - e`` wit
 the allowed edits; whatever the order of all words, they then share one of each text's
 first ``e + 1`` in it.  The order is from rare to common (by a table of hashed counts,
 which affects the number of candidates only), so no pair of these texts is lost, and a
-passage that many of them hold is a key only of texts that are hardly anything else.
+passage that many of them hold is a key only of texts that are hardly anything else.  A
+pair meets by a word only where it may be the first that they share: the words after it
+must be enough for the rest, which ends pairs that have just such a passage in common.
 
 Before any text is moved, a pair must pass a lower bound of its edits: ``BINS`` word
 counts by hash, of which an edit moves two at most.  What passes is decided by the
@@ -204,14 +206,15 @@ def _codes(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(large, 255)).astype(np.uint8)
 
 
-def rare_words(words: np.ndarray, codes: np.ndarray, similarity: float) -> np.ndarray:
+def rare_words(words: np.ndarray, codes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """The text's prefix of labelled words from rare to common, without those that no
-    other text has."""
+    other text has, and their places in that order."""
     names = labelled(words)
     code = codes[_places(names)].astype(np.uint64)
     order = np.sort((code << _U(56)) | (names & _U((1 << 56) - 1)))
     first = order[: allowed(len(words), similarity) + 1]
-    return first[first >> _U(56) > 1].view(np.int64)
+    known = np.flatnonzero(first >> _U(56) > 1)
+    return first[known].view(np.int64), known.astype(np.int32)
 
 
 def _columns_of(a: np.ndarray, width: int) -> Callable[[int, int], int]:
@@ -335,7 +338,8 @@ def _rare(shared, similarity: float):
         codes = shared.value
         for batch in batches:
             rare = [rare_words(word_hashes(t), codes, similarity) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rare, pa.list_(pa.int64()))], names=["num", "rare"])
+            lists = [pa.array([r[k] for r in rare], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["num", "key", "at"])
 
     return run
 
@@ -367,6 +371,13 @@ def _near(similarity: float) -> Column:
     return F.when(small < large - most, False).otherwise(_apart() <= 2 * most - (large - small))
 
 
+def _first_shared(similarity: float) -> Column:
+    """Whether a shared word of x and y may be their first in the order: no more words
+    than those from it on are shared then, and these must be enough."""
+    large = F.greatest("x_n", "y_n")
+    return F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= large - F.floor((1 - similarity) * large + 1e-9)
+
+
 def _apart() -> Column:
     return F.aggregate(F.zip_with("x_bag", "y_bag", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, d: s + d)
 
@@ -407,13 +418,13 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity:
     named = stored(members.join(nodes.select("num", "first_id", "content"), "num"), "members")
     texts = stored(_texts(named, raw, "num"), "member-texts")
     shared = raw.sparkSession.sparkContext.broadcast(word_codes(texts.select("raw")))
-    rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, rare array<bigint>").select("num", F.explode("rare").alias("key"))
+    rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, key array<bigint>, at array<int>").select("num", F.inline(F.arrays_zip("key", "at")))
     mixed = stored(_mixed(rare.join(members, "num")).join(nodes.select("num", "n", "bag"), "num"), "words")
     # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     few = mixed.where("root <> top").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = mixed.withColumn("block", F.pmod(F.col("num"), blocks).cast("int"))
-    return _ordered(_across(few, dealt, ["key", "block"], _near(similarity)))
+    return _ordered(_across(few, dealt, ["key", "block"], _first_shared(similarity) & _near(similarity)))
 
 
 def _open(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
