@@ -14,10 +14,10 @@ similarity, a fifth of the words edited, triples spread over the text at random
 in 7 to 8 of 64 sketches on average and miss each other in one pair of 3,000; with
 an edit in exactly every fifth word, the worst case, in one of 60.
 
-Candidates.  First each text meets the smallest hub of its buckets (a bucket, a sketch's
-value, has one of its texts as hub) that the bounds below allow; then, where a bucket
-still holds several components of the accepted links, those outside the commonest one
-meet one of its texts.  At last, in every bucket that
+Candidates.  First each text meets the hub of the most of its buckets (a bucket, a
+sketch's value, has its smallest text as hub); then, where a bucket still holds several
+components of the accepted links, those outside the commonest one meet one of its texts.
+Both only if the bounds below allow it.  At last, in every bucket that
 is still mixed, all texts of different components meet: no link is left to the luck of
 a hub.  Buckets of more than ``SMALL`` texts would square there;
 their texts meet by an exact prefix filter instead, in which the sketches play no part.
@@ -67,7 +67,7 @@ K_FROM = ((48, 3), (16, 2), (0, 1))
 #: Places of the word counts that bound a pair's edits from below.
 BINS = 64
 #: Rounds in which texts meet one of the commonest component, before all of them meet.
-TURNS = 2
+TURNS = 1
 #: Texts of a bucket that meet in it; those of larger ones meet by the prefix filter.
 SMALL = 256
 #: Hash values held at once while a text is sketched.
@@ -78,6 +78,9 @@ COUNT_BITS = 24
 CHUNK = 1 << 16
 #: Texts of a block: blocks of a bucket of the prefix filter meet in different tasks.
 BLOCK = 256
+#: Words before a shared one, in the order of the prefix filter, that are looked at for
+#: an earlier one.  It changes how often a pair is found, not whether.
+PRIOR = 32
 #: Rows of a table of names up to which it is sent to all tasks: some 30 bytes each.
 NAMES = 400_000
 #: Rows of the alignment whose bits are one number; longer texts have several.
@@ -338,8 +341,10 @@ def _rare(shared, similarity: float):
         codes = shared.value
         for batch in batches:
             rare = [rare_words(word_hashes(t), codes, similarity) for t in batch.column(1).to_pylist()]
-            lists = [pa.array([r[k] for r in rare], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["num", "key", "at"])
+            prior = [[keys[max(0, k - PRIOR) : k] for k in range(len(keys))] for keys, _ in rare]
+            keys, at = ([r[k] for r in rare] for k in range(2))
+            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(prior, pa.list_(pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["num", "key", "at", "prior"])
 
     return run
 
@@ -373,9 +378,11 @@ def _near(similarity: float) -> Column:
 
 def _first_shared(similarity: float) -> Column:
     """Whether a shared word of x and y may be their first in the order: no more words
-    than those from it on are shared then, and these must be enough."""
+    than those from it on are shared then, and these must be enough; and none of those
+    just before it is shared (by that one the pair meets, or by one before it)."""
     large = F.greatest("x_n", "y_n")
-    return F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= large - F.floor((1 - similarity) * large + 1e-9)
+    enough = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) >= large - F.floor((1 - similarity) * large + 1e-9)
+    return enough & ~F.arrays_overlap("x_prior", "y_prior")
 
 
 def _apart() -> Column:
@@ -387,8 +394,8 @@ def _side(nodes: DataFrame, name: str) -> DataFrame:
 
 
 def _possible(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (x, y) that the bounds let through, with the difference of their counts."""
-    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select(*pairs.columns, _apart().alias("apart"))
+    """Pairs (x, y) that the bounds let through."""
+    return pairs.join(_side(nodes, "x"), "x").join(_side(nodes, "y"), "y").where(_near(similarity)).select("x", "y")
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -409,6 +416,13 @@ def _across(few: DataFrame, all_: DataFrame, on: list[str], near: Column) -> Dat
     return x.join(y, on).where(once & near)
 
 
+def _most_met(pairs: DataFrame, *by: str) -> DataFrame:
+    """Of each text's pairs, a row a bucket, the one (x, y) with the most buckets: to
+    begin with, a text meets one text, not one in each of its buckets."""
+    met = pairs.groupBy("x", *by).agg(F.count("*").alias("c"))
+    return met.groupBy(*by).agg(F.min_by("x", F.struct(-F.col("c"), "x")).alias("x")).select("x", "y")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
@@ -418,7 +432,8 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity:
     named = stored(members.join(nodes.select("num", "first_id", "content"), "num"), "members")
     texts = stored(_texts(named, raw, "num"), "member-texts")
     shared = raw.sparkSession.sparkContext.broadcast(word_codes(texts.select("raw")))
-    rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, key array<bigint>, at array<int>").select("num", F.inline(F.arrays_zip("key", "at")))
+    rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, key array<bigint>, at array<int>, prior array<array<bigint>>")
+    rare = rare.select("num", F.inline(F.arrays_zip("key", "at", "prior")))
     mixed = stored(_mixed(rare.join(members, "num")).join(nodes.select("num", "n", "bag"), "num"), "words")
     # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -437,10 +452,10 @@ def _open(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
 def _to_common(mixed: DataFrame, nodes: DataFrame, similarity: float, turn: int) -> DataFrame:
     """Texts outside a bucket's commonest component with one text of it, another one in
     each bucket: nearly all that belong to a large group join it here."""
-    one = mixed.where("root = top").groupBy("key").agg(F.max_by("num", F.xxhash64("key", "num", F.lit(turn))).alias("x"))
-    pairs = mixed.where("root <> top").select("key", "top", F.col("num").alias("y")).join(one, "key").select("x", "y", "top").distinct()
-    # one pair of a text and a component, the closest, is enough to begin with
-    return _ordered(_possible(pairs, nodes, similarity).groupBy("y", "top").agg(F.min_by("x", F.struct("apart", "x")).alias("x")))
+    # one order of the texts in all buckets, so that those of a text have few answers
+    one = mixed.where("root = top").groupBy("key").agg(F.max_by("num", F.xxhash64("num", F.lit(turn))).alias("x"))
+    pairs = mixed.where("root <> top").select("key", "top", F.col("num").alias("y")).join(one, "key")
+    return _ordered(_possible(_most_met(pairs, "y", "top"), nodes, similarity))
 
 
 def _unlinked(mixed: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
@@ -524,10 +539,8 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     hubs = keyed.groupBy("key").agg(F.min("num").alias("hub"), F.max("num").alias("last")).where("hub <> last")
     buckets = stored(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
     discard(whole)
-    tried = buckets.where("hub <> num").select(F.col("hub").alias("x"), F.col("num").alias("y")).distinct()
-    # a text of a large group meets one hub, not one in each of its buckets
-    first = _possible(tried, nodes, similarity).groupBy("y").agg(F.min("x").alias("x")).select("x", "y")
-    links = _accepted(first, nodes, raw, similarity)
+    tried = _most_met(buckets.where("hub <> num").select(F.col("hub").alias("x"), F.col("num").alias("y")), "y")
+    links = _accepted(_possible(tried, nodes, similarity), nodes, raw, similarity)
     for turn in range(TURNS):
         mixed = _open(buckets, nodes, components(links))
         links = links.union(_accepted(_to_common(mixed, nodes, similarity, turn), nodes, raw, similarity))
