@@ -80,7 +80,7 @@ CHUNK = 1 << 16
 BLOCK = 256
 #: Words before a shared one, in the order of the prefix filter, that are looked at for
 #: an earlier one.  It changes how often a pair is found, not whether.
-PRIOR = 32
+PRIOR = 16
 #: Rows of a table of names up to which it is sent to all tasks: some 30 bytes each.
 NAMES = 400_000
 #: Rows of the alignment whose bits are one number; longer texts have several.
@@ -435,6 +435,8 @@ def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity:
     rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, key array<bigint>, at array<int>, prior array<array<bigint>>")
     rare = rare.select("num", F.inline(F.arrays_zip("key", "at", "prior")))
     mixed = stored(_mixed(rare.join(members, "num")).join(nodes.select("num", "n", "bag"), "num"), "words")
+    for done in (named, texts):
+        discard(done)
     # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     few = mixed.where("root <> top").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -546,6 +548,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
         links = links.union(_accepted(_to_common(mixed, nodes, similarity, turn), nodes, raw, similarity))
         discard(mixed)
     mixed = _open(buckets, nodes, components(links))
+    discard(buckets)
     links = links.union(_accepted(_unlinked(mixed, nodes, raw, similarity), nodes, raw, similarity))
     discard(mixed)
     return rows, nodes.select("content", "first_id").join(components(links).select("content.content", "root"), "content", "left")
