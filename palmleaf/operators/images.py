@@ -192,8 +192,9 @@ def components(pixels: DataFrame, ink: Column | None = None) -> DataFrame:
     def fill(table: pd.DataFrame) -> pd.DataFrame:
         left = set(zip(table.y, table.x, strict=True))
         rows = []
-        while left:
-            first = min(left)
+        for first in sorted(left):
+            if first not in left:
+                continue
             left.discard(first)
             todo, seen = [first], [first]
             while todo:

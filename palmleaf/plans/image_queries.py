@@ -154,7 +154,17 @@ def img_zones(spark, sf_dir):
     return images.zones(images.headline(_grid(spark, sf_dir)))
 
 
-@query()
+@query(
+    """SELECT img_id, row_number() OVER (PARTITION BY img_id ORDER BY first) - 1 AS label, area, w, h, greatest(w / h, h / w) AS aspect FROM (
+      WITH RECURSIVE i AS (SELECT img_id, y, x, y * 8 + x AS cell FROM g WHERE v > 140),
+      reach(img_id, cell, other) AS (
+        SELECT img_id, cell, cell FROM i
+        UNION SELECT r.img_id, r.cell, b.cell FROM reach r JOIN i a ON a.img_id = r.img_id AND a.cell = r.other
+          JOIN i b ON b.img_id = a.img_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1),
+      named AS (SELECT img_id, other AS cell, min(cell) AS first FROM reach GROUP BY img_id, other)
+      SELECT img_id, first, count(*) AS area, CAST(max(cell % 8) - min(cell % 8) + 1 AS BIGINT) AS w, CAST(max(cell // 8) - min(cell // 8) + 1 AS BIGINT) AS h
+      FROM named GROUP BY img_id, first)"""
+)
 def img_components(spark, sf_dir):
     """8-connected runs of bright pixels."""
     return images.components(_grid(spark, sf_dir), F.col("v") > 140)
