@@ -50,6 +50,7 @@ through ``deduplicate`` whatever their names.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -81,6 +82,11 @@ BLOCK = 256
 #: Words before a shared one, in the order of the prefix filter, that are looked at for
 #: an earlier one.  It changes how often a pair is found, not whether.
 PRIOR = 16
+#: Rows of the prefix filter that meet at once: the larger of this number and this share
+#: of all words.  More of them meet in several passes, which bounds the disk they take.
+PASS_ROWS, PASS_SHARE = 1_000_000, 1 / 64
+#: Parts in which the partners of a text are listed.
+PARTS = 16
 #: Rows of a table of names up to which it is sent to all tasks: some 30 bytes each.
 NAMES = 400_000
 #: Rows of the alignment whose bits are one number; longer texts have several.
@@ -337,27 +343,43 @@ def _sketches(similarity: float):
 
 
 def _rare(shared, similarity: float):
+    """(num, root, n, bag) of a text and its prefix, a row a text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = shared.value
         for batch in batches:
-            rare = [rare_words(word_hashes(t), codes, similarity) for t in batch.column(1).to_pylist()]
-            prior = [[keys[max(0, k - PRIOR) : k] for k in range(len(keys))] for keys, _ in rare]
+            words = [word_hashes(t) for t in batch.column(2).to_pylist()]
+            rare = [rare_words(w, codes, similarity) for w in words]
             keys, at = ([r[k] for r in rare] for k in range(2))
-            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32())), pa.array(prior, pa.list_(pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["num", "key", "at", "prior"])
+            own = [pa.array([len(w) for w in words], pa.int64()), pa.array([bag(w) for w in words], pa.list_(pa.int8()))]
+            lists = [pa.array(keys, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *own, *lists], names=["num", "root", "n", "bag", "keys", "at"])
 
     return run
 
 
+def _words(rare: DataFrame, part: int, parts: int) -> DataFrame:
+    """A row for each word of the prefixes that is of this part, with those before it."""
+
+    def word(key: Column, k: Column) -> Column:
+        prior = F.slice("keys", F.greatest(k - PRIOR, F.lit(0)) + 1, F.least(k, F.lit(PRIOR)))
+        return F.struct(key.alias("key"), F.get("at", k).alias("at"), prior.alias("prior"))
+
+    mine = F.filter(F.transform("keys", word), lambda x: F.pmod(x["key"], F.lit(parts)) == part)
+    # dealt anew: the files of these short rows are few, and each gives many more
+    return rare.repartition("num").select("num", "root", "n", "bag", F.inline(mine))
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hashes = None, None
+        last, hashes = [None, None], [None, None]
         for batch in batches:
             keep = []
-            for one, two in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
-                if one != hub:  # rows of a text come in runs
-                    hub, hashes = one, word_hashes(one)
-                keep.append(similar(hashes, word_hashes(two), similarity))
+            for pair in zip(*(batch.column(k).to_pylist() for k in (2, 3)), strict=True):
+                for k, text in enumerate(pair):
+                    if text != last[k]:  # rows of a text come in runs
+                        last[k], hashes[k] = text, word_hashes(text)
+                keep.append(similar(*hashes, similarity))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -430,18 +452,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def _by_prefix(members: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
     """Pairs of the members (num, root) that the prefix filter and the bounds leave."""
     named = stored(members.join(nodes.select("num", "first_id", "content"), "num"), "members")
-    texts = stored(_texts(named, raw, "num"), "member-texts")
+    texts = stored(_texts(named, raw, "num", "root"), "member-texts")
     shared = raw.sparkSession.sparkContext.broadcast(word_codes(texts.select("raw")))
-    rare = texts.mapInArrow(_rare(shared, similarity), "num bigint, key array<bigint>, at array<int>, prior array<array<bigint>>")
-    rare = rare.select("num", F.inline(F.arrays_zip("key", "at", "prior")))
-    mixed = stored(_mixed(rare.join(members, "num")).join(nodes.select("num", "n", "bag"), "num"), "words")
+    rare = stored(texts.mapInArrow(_rare(shared, similarity), "num bigint, root bigint, n bigint, bag array<tinyint>, keys array<bigint>, at array<int>"), "rare")
     for done in (named, texts):
         discard(done)
-    # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    few = mixed.where("root <> top").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = mixed.withColumn("block", F.pmod(F.col("num"), blocks).cast("int"))
-    return _ordered(_across(few, dealt, ["key", "block"], _first_shared(similarity) & _near(similarity)))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    passes = max(1, math.ceil((rare.agg(F.sum(F.size("keys"))).first()[0] or 0) / max(PASS_ROWS, PASS_SHARE * total)))
+    found = None
+    for k in range(passes):
+        mixed = stored(_mixed(_words(rare, k, passes)), "words")
+        # a large bucket is dealt in blocks: each pair of a text and a block meets in one place
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        few = mixed.where("root <> top").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = mixed.withColumn("block", F.pmod(F.col("num"), blocks).cast("int"))
+        pairs = stored(_ordered(_across(few, dealt, ["key", "block"], _first_shared(similarity) & _near(similarity))), "met")
+        discard(mixed)
+        found = pairs if found is None else found.union(pairs)
+    discard(rare)
+    return found
 
 
 def _open(buckets: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
@@ -470,27 +499,35 @@ def _unlinked(mixed: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: fl
     return pairs
 
 
-def _texts(named: DataFrame, raw: DataFrame, name: str) -> DataFrame:
-    """(name, raw) of named texts (content, first_id), each from a row with its first id."""
-    wanted = named.select(name, F.col("content").alias("c"), "first_id")
+def _texts(named: DataFrame, raw: DataFrame, *names: str) -> DataFrame:
+    """(names, raw) of named texts (content, first_id), each from a row with its first id."""
+    wanted = named.select(*names, F.col("content").alias("c"), "first_id")
     if named.count() <= NAMES:
         wanted = F.broadcast(wanted)
     found = raw.where("raw IS NOT NULL").join(wanted, (F.unhex(F.md5("raw")) == F.col("c")) & F.col("id").eqNullSafe(F.col("first_id")))
-    return found.select(name, "raw").dropDuplicates([name])
+    return found.select(*names, "raw").dropDuplicates([names[0]])
 
 
 def _accepted(pairs: DataFrame, nodes: DataFrame, raw: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) between the names of texts whose pairs the alignment accepts.
-    Only texts of candidates are moved."""
+    Only texts of candidates are moved; x's, of which many may have the same, once for
+    each list of its partners.  Only accepted pairs are named."""
+    pairs = stored(pairs, "candidates")
+    wanted = pairs.select(F.col("x").alias("num")).union(pairs.select("y")).distinct()
+    named = stored(wanted.join(nodes.select("num", "first_id", "content"), "num"), "wanted")
+    chosen = stored(_texts(named, raw, "num"), "candidate-texts")
+    # rows without texts are small: a fixed number of tasks, or few would align them all
+    tasks = int(raw.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = pairs.withColumn("part", F.pmod(F.xxhash64("y"), F.lit(PARTS))).repartition(tasks, "x", "part")
+    lists = parts.groupBy("x", "part").agg(F.collect_list("y").alias("ys"))
+    ones = lists.join(chosen.select(F.col("num").alias("x"), F.col("raw").alias("one")), "x").select("x", "one", F.explode("ys").alias("y"))
+    both = ones.join(chosen.select(F.col("num").alias("y"), F.col("raw").alias("two")), "y")
+    links = both.select("x", "y", "one", "two").mapInArrow(_verify(similarity), "x bigint, y bigint")
     label = F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "content")
-    name = lambda num, c: nodes.select(F.col("num").alias(num), label.alias(c))
-    named = stored(pairs.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b"), "candidates")
-    wanted = named.select("a").union(named.select("b")).distinct()
-    chosen = stored(_texts(stored(wanted.select("a", "a.content", "a.first_id"), "wanted"), raw, "a"), "candidate-texts")
-    both = named.join(chosen.select(F.col("a").alias("b"), F.col("raw").alias("two")), "b").join(chosen.select("a", F.col("raw").alias("one")), "a")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema.fields)
-    links = stored(both.select("a", "b", "one", "two").mapInArrow(_verify(similarity), schema).distinct(), "links")
-    discard(chosen)
+    name = lambda num, c: named.select(F.col("num").alias(num), label.alias(c))
+    links = stored(stored(links, "accepted").join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b").distinct(), "links")
+    for done in (pairs, chosen):
+        discard(done)
     return links
 
 
@@ -537,7 +574,8 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     discard(sketched)
     # short rows: numbers stand for contents until the texts are compared
     nodes = stored(whole.select(F.xxhash64("content").alias("num"), "content", "first_id", "n", "bag"), "nodes")
-    keyed = whole.select(F.xxhash64("content").alias("num"), F.explode("keys").alias("key"))
+    # dealt once, for the hubs and for the join with them
+    keyed = whole.select(F.xxhash64("content").alias("num"), F.explode("keys").alias("key")).repartition("key")
     hubs = keyed.groupBy("key").agg(F.min("num").alias("hub"), F.max("num").alias("last")).where("hub <> last")
     buckets = stored(keyed.join(hubs.select("key", "hub"), "key"), "buckets")
     discard(whole)

@@ -1,10 +1,14 @@
 """Near-duplicates that sketches miss, against brute force over all pairs."""
 
 import random
+import time
+from pathlib import Path
 
+from pyspark.sql import functions as F
 from test_html_and_pipeline import _brute
 
 from palmleaf.llm import neardup
+from palmleaf.plans.session import CLEANUP, stored
 
 
 def _noise(rng, n):
@@ -84,3 +88,42 @@ def test_recall_by_edit_rate(spark):
     recall = {rate: sum(got[a] == got[b] for a, b in found) / len(found) for rate, found in pairs.items()}
     assert min(recall.values()) >= 0.97, recall
     assert len(set(got.values())) >= len(texts) // 2
+
+
+def test_prefix_filter_in_passes(spark, monkeypatch):
+    """Texts of large buckets meet in passes of bounded size, none of which loses a pair."""
+    made = []
+    monkeypatch.setattr(neardup, "SMALL", 8)
+    monkeypatch.setattr(neardup, "PASS_ROWS", 300)
+    monkeypatch.setattr(neardup, "PASS_SHARE", 0.0)
+    monkeypatch.setattr(neardup, "TURNS", 0)
+    words = neardup._words
+    monkeypatch.setattr(neardup, "_words", lambda rare, part, parts: (made.append((part, parts)), words(rare, part, parts))[1])
+    rng = random.Random(24)
+    passage = [f"p{k}" for k in range(70)]
+    texts, pairs = [], []
+    for k in range(60):
+        base = passage + _noise(rng, 30)
+        texts.append(base)
+        if k % 2 == 0:
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(_edited(rng, base, rng.sample(range(70, 100), 9)))
+    _check(spark, texts, pairs)
+    assert made and made[0][1] > 1 and [k for k, _ in made] == list(range(made[0][1]))
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """Shuffle files go with the write that made them, not with a garbage collection."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for f in Path(str(d)).rglob("shuffle_*.data")}
+
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    table = stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    deadline = time.time() + 10
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.count() == 7
+    assert spark.conf.get(CLEANUP, "false") == setting
