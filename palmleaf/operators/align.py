@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palmleaf.functions.text import corpus_key, padas, rewrite, strip
-from palmleaf.functions.udfs import nfc, ratio
+from palmleaf.functions.udfs import nfc
 from palmleaf.operators import lexicon
 from palmleaf.operators.quality import calibrated, validity
+from palmleaf.operators.similar import Entries
+from palmleaf.plans.session import stored
 from palmleaf.sources import literals
 
-#: Candidates for which the corpus side is sent to all tasks.
-BROADCAST_ROWS = 200_000
+#: Candidates of a block that is sent to all tasks.
+BROADCAST_ROWS = 20_000
 
 
 def candidates(corpus: DataFrame) -> DataFrame:
@@ -23,6 +28,20 @@ def candidates(corpus: DataFrame) -> DataFrame:
     return keyed.select((F.col("ord").cast("bigint") * 1024 + F.col("sub") + 1).alias("cand_ord"), "cand", "cand_key")
 
 
+def _closest(shared, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        for batch in batches:
+            rows = shared.value
+            known = known or Entries([r.cand_key for r in rows])
+            texts = batch.column(0).to_pylist()
+            found = [(t, hit[1], -rows[hit[0]].cand_ord, rows[hit[0]].cand) for t in texts if (hit := known.closest(t, least, 0.8, 0.85, 0.94))]
+            columns = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.string()), strict=True)], names=["target", "r", "o", "cand"])
+
+    return run
+
+
 def align(
     lines: DataFrame,
     corpus: DataFrame,
@@ -32,26 +51,23 @@ def align(
 ) -> DataFrame:
     """``lines`` with ``aligned`` and ``align_score``.
 
-    Every distinct line meets only candidates of a similar length: the length guard
-    is an equi-join on length buckets, so neither side is crossed with the other.
+    Every distinct line meets only candidates of a similar length, a block of them at
+    a time, and only those are compared in full that may be its best.
     Best score, then first candidate.  ``exact`` (key_line) catches the rest by key.
     """
     keyed = lines.select(F.col(line).alias("l")).distinct().withColumn("target", corpus_key(F.col("l")))
-    sized = keyed.where(F.length("target") >= 5)
-    # a ratio of 0.8 spans at most the lengths n*0.8 .. n/0.8: every length is listed
-    n = F.length("target")
-    spread = sized.withColumn("len", F.explode(F.sequence(F.ceil(n * 0.8).cast("int"), F.floor(n / 0.8).cast("int"))))
-    cand = candidates(corpus).withColumn("len", F.length("cand_key"))
-    if cand.count() <= BROADCAST_ROWS:
-        cand = F.broadcast(cand)
-    m = F.length("cand_key")
-    small, large = F.least(n, m), F.greatest(n, m)
-    pairs = spread.join(cand, "len").where((2.0 * small / (n + m) >= min_similarity) & (small / large >= 0.80))
-    scored = pairs.withColumn("r", ratio(F.col("target"), F.col("cand_key")))
-    inside = (n >= 8) & (small / large >= 0.85) & (F.col("cand_key").contains(F.col("target")) | F.col("target").contains(F.col("cand_key")))
-    scored = scored.withColumn("r", F.when(inside, F.greatest("r", F.lit(0.94))).otherwise(F.col("r")))
-    best = scored.groupBy("l").agg(F.max(F.struct("r", (-F.col("cand_ord")).alias("o"), "cand")).alias("b"))
-    out = keyed.join(best, "l", "left")
+    spark = lines.sparkSession
+    # short rows with long work: a fixed number of tasks
+    sized = keyed.where(F.length("target") >= 5).select("target").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # of equal candidates the first counts
+    cand = stored(candidates(corpus).groupBy("cand_key").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("cand", "cand_ord").alias("cand")), "align")
+    found = None
+    for k in range(blocks := max(1, -(-cand.count() // BROADCAST_ROWS))):
+        block = cand.where(F.pmod(F.xxhash64("cand_key"), F.lit(blocks)) == k).orderBy("cand_ord").collect()
+        one = sized.mapInArrow(_closest(spark.sparkContext.broadcast(block), min_similarity), "target string, r double, o bigint, cand string")
+        found = one if found is None else found.unionByName(one)
+    best = stored(found.groupBy("target").agg(F.max(F.struct("r", "o", "cand")).alias("b")), "align")
+    out = keyed.join(best, "target", "left")
     hit = F.coalesce(F.col("b.r") >= min_similarity, F.lit(False))
     if exact is None:
         match, score = F.when(hit, F.col("b.cand")).otherwise(F.col("l")), F.coalesce("b.r", F.lit(0.0))

@@ -35,3 +35,23 @@ def test_unlike_texts_are_not_compared():
     known = Entries(keys)
     assert not [k for t in texts for k in known.near(t, 0.65)]
     assert len(known.matchers) <= 5
+
+
+def test_closest_is_difflibs_best():
+    """The best entry and its exact ratio, also below any threshold, among lengths that fit."""
+    rng = random.Random(33)
+    keys = _texts(rng, 60, most=90) + _texts(rng, 40, most=500) + ["ab" * 120 + "xyz", "abc" * 70]
+    texts = [_edited(rng, k) for k in keys[::3]] + _texts(rng, 40, most=400) + [keys[5] + "z", "ab" * 110]
+    known = Entries(keys)
+    for text in texts:
+        n, want = len(text), None
+        for at, key in enumerate(keys):
+            small, large = min(n, len(key)), max(n, len(key))
+            if not (2.0 * small / (n + len(key)) >= 0.68 and small / large >= 0.8):
+                continue
+            r = difflib.SequenceMatcher(None, text, key).ratio()
+            if n >= 8 and small / large >= 0.85 and (text in key or key in text):
+                r = max(r, 0.94)
+            if want is None or r > want[1]:
+                want = (at, r)
+        assert known.closest(text, 0.68, 0.8, 0.85, 0.94) == want
