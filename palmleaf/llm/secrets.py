@@ -9,9 +9,9 @@ deviate; the sum of their squares is about chi-squared with three degrees of fre
 for random strings, so at most ``BOUND``, its 1 % point.
 
 False discoveries are controlled by length.  The null hypothesis is a token made of
-words.  Every text gives such tokens, its words run together in the styles of
-identifiers and cut to a length of each band in turn, and these pass the same battery;
-few texts give several each, ``NULLS`` in all at least.  A token's p-value is the share
+words.  Every stretch of some 4,096 characters of every text gives such a token, its
+words run together in the styles of identifiers and cut to a length of a band, and these
+pass the same battery; few texts give several a stretch, ``NULLS`` in all at least.  A token's p-value is the share
 of its band's null tokens that look as random as it or more, and within each band the
 Benjamini-Hochberg procedure accepts tokens up to a false-discovery rate of ``FDR``.
 Only histograms by band and deviate are gathered, a fixed number of rows.
@@ -63,8 +63,10 @@ ENCODINGS = (
 WORD = r"(?<![A-Za-z0-9+/_=-])(?:[A-Z]?[a-z]+|[A-Z]+)(?![A-Za-z0-9+/_=-])"
 #: Null tokens of all bands together, at least.
 NULLS = 2000
-#: Places of a text from which words of a null token are taken, and its least length.
-_NULL_FROM, _NULL_SPAN, NULL_LEAST = 1 << 12, 240, 20
+#: Characters of which words of a null token are taken, and its least length.
+_NULL_SPAN, NULL_LEAST = 240, 20
+# Fixed value: a stretch of a text, the last one with a rest that is too short to be one.
+STRETCH = r"(?s).{1,4096}(?:.{1,239}\z)?"
 
 
 def _choose(token: Column, values: list) -> Column:
@@ -136,12 +138,11 @@ def band(length: Column) -> Column:
 
 
 def null_tokens(text: Column, each: int) -> Column:
-    """(band, deviate) of ``each`` tokens made of the text's words."""
+    """(band, deviate) of ``each`` tokens made of the words of each stretch of the text."""
 
-    def token(seed: Column) -> Column:
-        at = F.pmod(F.shiftright(seed, 8), F.least(F.lit(_NULL_FROM), F.greatest(F.length(text) - _NULL_SPAN, F.lit(1))).cast("bigint")).cast("int")
-        found = F.array_join(F.regexp_extract_all(F.substring(text, at + 1, F.lit(_NULL_SPAN)), F.lit(WORD), F.lit(0)), " ")
-        # a text of few words repeats them
+    def token(part: Column, seed: Column) -> Column:
+        at = F.pmod(F.shiftright(seed, 8), F.greatest(F.length(part) - _NULL_SPAN + 1, F.lit(1)).cast("bigint")).cast("int")
+        found = F.array_join(F.regexp_extract_all(F.substring(part, at + 1, F.lit(_NULL_SPAN)), F.lit(WORD), F.lit(0)), " ")
         # a text of few words repeats them
         words = let(found, lambda x: F.repeat(F.concat(x, F.lit(" ")), F.when(x == "", 0).otherwise(F.ceil(_NULL_SPAN / F.greatest(F.length(x), F.lit(1)))).cast("int")))
         low = F.get(F.array(*map(F.lit, BANDS)), F.pmod(seed, F.lit(len(BANDS))).cast("int"))
@@ -159,8 +160,11 @@ def null_tokens(text: Column, each: int) -> Column:
     def tested(x: Column) -> Column:
         return F.struct(band(F.length(x)).alias("band"), F.when(F.length(x) >= NULL_LEAST, deviate(x)).alias("deviate"))
 
-    seeds = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda k: F.xxhash64(F.substring(text, 1, _NULL_FROM), k))
-    return F.filter(F.transform(seeds, lambda seed: let(seed, token)), lambda x: x["deviate"].isNotNull())
+    def tokens(part: Column) -> Column:
+        seeds = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda k: F.xxhash64(part, k))
+        return F.filter(F.transform(seeds, lambda seed: let(seed, lambda s: token(part, s))), lambda x: x["deviate"].isNotNull())
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(STRETCH), F.lit(0)), tokens))
 
 
 def scan(docs: DataFrame, keep: list[str], text_col: str = "text", each: int = 1) -> DataFrame:

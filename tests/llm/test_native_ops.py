@@ -294,3 +294,13 @@ def test_pii_keeps_columns_of_any_name(spark):
     assert pii.pseudonymise(docs.where("false"), "key").count() == 0
     with pytest.raises(ValueError):
         pii.pseudonymise(docs, "")
+
+
+def test_null_tokens_come_from_whole_texts(spark):
+    """Each stretch of a text gives its tokens, not the first characters alone."""
+    first = "river stone " * 1000  # two stretches and a rest, which is one as well
+    texts = [first + word * 600 for word in ("meadow lantern ", "copper orchard ")] + ["short one", "", "!!! 123 ?!"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", secrets.null_tokens(F.col("t"), 2).alias("n")).orderBy("k").collect()
+    tokens = [[tuple(x) for x in r.n] for r in rows]
+    assert [len(t) for t in tokens] == [2 * -(-21000 // 4096), 2 * -(-21000 // 4096), 2, 0, 0]
+    assert tokens[0][:4] == tokens[1][:4] and tokens[0][6:] != tokens[1][6:]
