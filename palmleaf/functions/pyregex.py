@@ -10,6 +10,8 @@ import re
 
 #: Members of Python's Unicode white space, for use inside a class.
 SPACE = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as text.
+SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: White space without line breaks.
 BLANK = r" \t\x0b\x0c\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = r"[\p{L}\p{N}_]"

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palmleaf.functions import compiled
 from palmleaf.functions.text import corpus_key, padas, rewrite, strip
 from palmleaf.functions.udfs import nfc
 from palmleaf.operators import lexicon
 from palmleaf.operators.quality import calibrated, validity
-from palmleaf.operators.similar import Entries
 from palmleaf.plans.session import stored
 from palmleaf.sources import literals
 
 #: Candidates of a block that is sent to all tasks.
 BROADCAST_ROWS = 20_000
+#: ``similar.Entries.closest`` in Java.
+CLOSEST = Path(__file__).with_name("Closest.java")
 
 
 def candidates(corpus: DataFrame) -> DataFrame:
@@ -28,18 +30,10 @@ def candidates(corpus: DataFrame) -> DataFrame:
     return keyed.select((F.col("ord").cast("bigint") * 1024 + F.col("sub") + 1).alias("cand_ord"), "cand", "cand_key")
 
 
-def _closest(shared, least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = None
-        for batch in batches:
-            rows = shared.value
-            known = known or Entries([r.cand_key for r in rows])
-            texts = batch.column(0).to_pylist()
-            found = [(t, hit[1], -rows[hit[0]].cand_ord, rows[hit[0]].cand) for t in texts if (hit := known.closest(t, least, 0.8, 0.85, 0.94))]
-            columns = list(zip(*found, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.float64(), pa.int64(), pa.string()), strict=True)], names=["target", "r", "o", "cand"])
-
-    return run
+def _closest(block: DataFrame, least: float) -> Callable[[Column], Column]:
+    """A function of a key: struct(r, o, cand) of its closest candidate, null if no length fits."""
+    rows = block.select("cand_key", "cand_ord", "cand").orderBy("cand_ord")._jdf.collectAsList()
+    return compiled.function(block.sparkSession, CLOSEST, "r double, o bigint, cand string", rows, least, 0.8, 0.85, 0.94)
 
 
 def align(
@@ -63,10 +57,10 @@ def align(
     cand = stored(candidates(corpus).groupBy("cand_key").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("cand", "cand_ord").alias("cand")), "align")
     found = None
     for k in range(blocks := max(1, -(-cand.count() // BROADCAST_ROWS))):
-        block = cand.where(F.pmod(F.xxhash64("cand_key"), F.lit(blocks)) == k).orderBy("cand_ord").collect()
-        one = sized.mapInArrow(_closest(spark.sparkContext.broadcast(block), min_similarity), "target string, r double, o bigint, cand string")
+        block = cand.where(F.pmod(F.xxhash64("cand_key"), F.lit(blocks)) == k)
+        one = sized.select("target", _closest(block, min_similarity)(F.col("target")).alias("b"))
         found = one if found is None else found.unionByName(one)
-    best = stored(found.groupBy("target").agg(F.max(F.struct("r", "o", "cand")).alias("b")), "align")
+    best = stored(found.groupBy("target").agg(F.max("b").alias("b")), "align")
     out = keyed.join(best, "target", "left")
     hit = F.coalesce(F.col("b.r") >= min_similarity, F.lit(False))
     if exact is None:
