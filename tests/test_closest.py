@@ -64,11 +64,14 @@ def test_blocks_of_candidates_agree(spark, monkeypatch):
 
 
 def test_many_unlike_lines_end_in_time(spark):
-    """200 candidates against 6,000 lines that are like none of them: minutes in Python."""
+    """200 candidates against 6,000 lines that are like none of them; in Python one line
+    takes more than 10 ms."""
     rng = random.Random(43)
     words = ["th", "er", "in", "on", "ti", "re", "at", "ed", "nd", "ou", "ing", "tion"]
     line = lambda: "".join(rng.choice(words) for _ in range(rng.randrange(30, 100)))
     keys, texts = [line() for _ in range(200)], [line() for _ in range(6000)]
+    _closest(spark, keys, texts[:10])
     began = time.time()
     assert len(_closest(spark, keys, texts)) == 6000
-    assert time.time() - began < 30
+    took = time.time() - began
+    assert took < 12, took
