@@ -49,10 +49,10 @@ def align(
     a time, and only those are compared in full that may be its best.
     Best score, then first candidate.  ``exact`` (key_line) catches the rest by key.
     """
-    keyed = lines.select(F.col(line).alias("l")).distinct().withColumn("target", corpus_key(F.col("l")))
+    keyed = lines.select(corpus_key(F.col(line)).alias("target"))
     spark = lines.sparkSession
     # short rows with long work: a fixed number of tasks
-    sized = keyed.where(F.length("target") >= 5).select("target").distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sized = keyed.where(F.length("target") >= 5).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     # of equal candidates the first counts
     cand = stored(candidates(corpus).groupBy("cand_key").agg(F.min("cand_ord").alias("cand_ord"), F.min_by("cand", "cand_ord").alias("cand")), "align")
     found = None
@@ -61,18 +61,18 @@ def align(
         one = sized.select("target", _closest(block, min_similarity)(F.col("target")).alias("b"))
         found = one if found is None else found.unionByName(one)
     best = stored(found.groupBy("target").agg(F.max("b").alias("b")), "align")
-    out = keyed.join(best, "target", "left")
+    # one join, and no text twice in its rows
+    out = lines.withColumn("target", corpus_key(F.col(line))).join(best, "target", "left")
     hit = F.coalesce(F.col("b.r") >= min_similarity, F.lit(False))
     if exact is None:
-        match, score = F.when(hit, F.col("b.cand")).otherwise(F.col("l")), F.coalesce("b.r", F.lit(0.0))
+        match, score = F.when(hit, F.col("b.cand")).otherwise(F.col(line)), F.coalesce("b.r", F.lit(0.0))
     else:
         first = exact.withColumn("k", corpus_key(F.col("key_line"))).where("k <> ''").groupBy("k").agg(F.min_by("key_line", "ord").alias("key_line"))
         out = out.join(first, F.col("target") == F.col("k"), "left")
         other = (F.length("target") >= 5) & F.col("key_line").isNotNull()
-        match = F.when(hit, F.col("b.cand")).when(other, F.col("key_line")).otherwise(F.col("l"))
+        match = F.when(hit, F.col("b.cand")).when(other, F.col("key_line")).otherwise(F.col(line))
         score = F.when(hit, F.col("b.r")).when(other, 1.0).otherwise(F.coalesce("b.r", F.lit(0.0)))
-    found = out.select("l", match.alias("aligned"), score.alias("align_score"))
-    return lines.join(found, F.col(line) == F.col("l"), "left").drop("l")
+    return out.select(*[F.col(f"`{c}`") for c in lines.columns], match.alias("aligned"), F.when(F.col(line).isNotNull(), score).alias("align_score"))
 
 
 def repair(
